@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as whitespace (Unicode White_Space plus
-# the four separators U+001C to U+001F), once as a set and once as a class body
-# that both Java's and RE2's regex syntax can be generated from.
+# The characters that count as whitespace, which are Unicode White_Space
+# and the four separators U+001C to U+001F; first as ranges, then as the body of a
+# regex class. \p{Z} covers all of them but the control characters.
 WHITESPACE_RANGES = [
     (0x09, 0x0D),
     (0x1C, 0x20),
@@ -20,12 +20,12 @@ WHITESPACE_RANGES = [
     (0x205F, 0x205F),
     (0x3000, 0x3000),
 ]
+SPACE_CLASS = r"\p{Z}\x{9}-\x{D}\x{1C}-\x{1F}\x{85}"
 # Fixed value: letters of a word, Latin lower case with accents.
 LETTERS = "a-zá-ú"
 # ---- end of fixed values
 
 WHITESPACE = "".join(chr(c) for lo, hi in WHITESPACE_RANGES for c in range(lo, hi + 1))
-SPACE_CLASS = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in WHITESPACE_RANGES)
 TOKEN = f"[^{SPACE_CLASS}]+"
 
 _WORD_CHAR = r"[\p{L}\p{N}_]"

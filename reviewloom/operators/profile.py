@@ -51,19 +51,19 @@ def distinct_ratings(df: DataFrame) -> DataFrame:
 
 
 def _length_counts(df: DataFrame, column: str) -> DataFrame:
-    """(length, n) of a column's text: as many rows as there are lengths."""
+    """(length, n) of a column's text: as many rows as there are lengths.
+
+    Missing texts stay as one row with a null length. A filter on the column would
+    be moved below the cleaning and compute the cleaned text twice.
+    """
     require_columns(df, column)
     length = F.length(F.col(column).cast("string"))
-    return (
-        df.select(length.alias("length"))
-        .where(F.col("length").isNotNull())
-        .groupBy("length")
-        .agg(tally().alias("n"))
-    )
+    return df.select(length.alias("length")).groupBy("length").agg(tally().alias("n"))
 
 
 def _mean_length() -> Column:
-    return F.round(F.sum(F.col("length") * F.col("n")) / F.sum("n"), 2)
+    texts = F.sum(F.when(F.col("length").isNotNull(), F.col("n")))
+    return F.round(F.try_divide(F.sum(F.col("length") * F.col("n")), texts), 2)
 
 
 def _median_length() -> Column:
@@ -355,12 +355,11 @@ def _word_count_boxes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     require_columns(df, "rating", "comment")
     counted = (
         df.select("rating", textfn.word_count(F.col("comment")).alias("word_count"))
-        .where(F.col("rating").isNotNull() & F.col("word_count").isNotNull())
         .groupBy("rating", "word_count")
         .agg(tally().alias("n"))
     )
     box = counted.groupBy("rating").agg(
-        F.sum("n").alias("count"),
+        tally("n", F.col("word_count").isNotNull()).alias("count"),
         histogram_quantiles(F.col("word_count"), [0.25, 0.5, 0.75], F.col("n")).alias("q"),
     )
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])

@@ -29,6 +29,16 @@ def value_percent(df: DataFrame, column: str) -> DataFrame:
     return counts.select(column, percent).orderBy(F.desc("percent"), column)
 
 
+def explode_items(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """One row per array item with its place ``_pos``, beside the ``keep`` columns.
+
+    The outer form, less its empty rows: for the inner one the optimizer adds a test
+    that the array is not empty and so computes the array twice.
+    """
+    placed = df.select(*keep, F.posexplode_outer(items).alias("_pos", name))
+    return placed.where(F.col("_pos").isNotNull())
+
+
 def item_counts(
     df: DataFrame,
     items: Column,
@@ -41,14 +51,11 @@ def item_counts(
     ``first_seen`` names the columns that order the rows; it adds the earliest
     place of each item, for ties that go by first appearance.
     """
-    carried = list(first_seen or []) + ([weight] if weight else [])
     measures = [tally(weight).alias("count")]
     if first_seen:
-        exploded = df.select(*carried, F.posexplode(items).alias("_pos", name))
         measures.append(F.min(F.struct(*first_seen, "_pos")).alias("first_seen"))
-    else:
-        exploded = df.select(*carried, F.explode(items).alias(name))
-    return exploded.groupBy(name).agg(*measures)
+    carried = list(first_seen or []) + ([weight] if weight else [])
+    return explode_items(df, items, name, *carried).groupBy(name).agg(*measures)
 
 
 def top_k(counts: DataFrame, name: str, k: int, tie: str | None = None) -> DataFrame:

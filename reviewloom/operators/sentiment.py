@@ -14,7 +14,7 @@ from ..functions import answers
 from ..functions.numbers import percentage, tally
 from ..functions.text import preview
 from .prompts import SENTIMENT_PROMPT, render
-from .ranking import item_counts, top_k_per_group
+from .ranking import explode_items, item_counts, top_k_per_group
 
 # Labels, confidence limits and bucket names.
 POSITIVE, NEGATIVE, NEUTRAL = "positive", "negative", "neutral"
@@ -118,9 +118,8 @@ def top_emotions(df: DataFrame, k: int = 5, weight: str | None = None) -> DataFr
     """The k most frequent emotions of positive and of negative answers."""
     polar = df.where(F.col("sentiment").isin(POSITIVE, NEGATIVE))
     carried = [weight] if weight else []
-    emotions = polar.select(
-        "sentiment", *carried, F.explode(answers.items(F.col("key_emotions"))).alias("emotion")
-    )
+    felt = answers.items(F.col("key_emotions"))
+    emotions = explode_items(polar, felt, "emotion", "sentiment", *carried)
     counts = emotions.groupBy("sentiment", "emotion").agg(tally(weight).alias("count"))
     return top_k_per_group(counts, "sentiment", "emotion", k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions.numbers import tally
-from .ranking import item_counts, top_k, top_k_per_group
+from .ranking import explode_items, item_counts, top_k, top_k_per_group
 
 #: Fields of a topic answer that are ranked.
 RANKED = ("main_topics", "issues", "praise")
@@ -63,7 +63,7 @@ def topic_summary(
     carried = [weight] if weight else []
     cells = F.concat(*[tagged(field) for field in RANKED])
     counts = (
-        df.select(*carried, F.explode(cells).alias("cell"))
+        explode_items(df, cells, "cell", *carried)
         .groupBy("cell.field", "cell.item")
         .agg(tally(weight).alias("count"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as textfn
 from .clean import require_columns
-from .ranking import item_counts, top_k
+from .ranking import explode_items, item_counts, top_k
 
 
 def _counts(df: DataFrame, column: str, words, first_seen: list[str] | None) -> DataFrame:
@@ -39,7 +39,7 @@ def vocabulary_size(df: DataFrame, column: str = "comment", approximate: bool =
     """Number of different tokens; the approximate form keeps a sketch only."""
     if approximate:
         require_columns(df, column)
-        words = df.select(F.explode(textfn.tokens(F.col(column).cast("string"))).alias("word"))
+        words = explode_items(df, textfn.tokens(F.col(column).cast("string")), "word")
         return words.agg(F.approx_count_distinct("word").alias("total_unique_words"))
     return word_counts(df, column).agg(vocabulary().alias("total_unique_words"))
 
@@ -54,4 +54,5 @@ def digit_runs(df: DataFrame, column: str = "comment", *keys: str) -> DataFrame:
     """T4: one row per run of digits, with the key columns of its text."""
     require_columns(df, column, *keys)
     runs = textfn.digit_runs(F.col(column).cast("string"))
-    return df.select(*keys, F.posexplode(runs).alias("position", "digits"))
+    placed = explode_items(df, runs, "digits", *keys)
+    return placed.select(*keys, F.col("_pos").alias("position"), "digits")

@@ -91,17 +91,26 @@ def analyze(
 
     sentiments = sentiment.parse_sentiments(answers_per_prompt(by_sentiment, stored))
     topic_rows = topics.parse_topics(answers_per_prompt(by_topic, stored))
-    data_summary = profile.data_summary_row(clean)
-    sentiment_row = sentiment.sentiment_summary_residual(sentiments, "n_rows")
-    topic_row = topics.topic_summary(topic_rows, weight="n_rows")
-
-    prompt = report_prompt(data_summary, sentiment_row, topic_row)
-    # The prompt feeds both the key and the call: write it, so that both see one text.
-    prompt_path = f"{work_dir}/report-prompt-{uuid4().hex}"
-    prompt.write.parquet(prompt_path)
-    prompt = clean.sparkSession.read.parquet(prompt_path)
-    report_cache = f"{work_dir}/report-responses"
-    report = generate_report(prompt, report_cache, factory, model, provider, insight_type)
+    # Written once: the report reads the summaries, and so does the caller.
+    summaries = _one_row(
+        data_summary=profile.data_summary_row(clean),
+        sentiment_analysis=sentiment.sentiment_summary_residual(sentiments, "n_rows"),
+        topic_extraction=topics.topic_summary(topic_rows, weight="n_rows"),
+    )
+    summary_path = f"{work_dir}/summaries-{uuid4().hex}"
+    summaries.write.parquet(summary_path)
+    summaries = clean.sparkSession.read.parquet(summary_path)
+    data_summary, sentiment_row, topic_row = (
+        summaries.select(f"{name}.*") for name in summaries.columns
+    )
+    report = generate_report(
+        report_prompt(data_summary, sentiment_row, topic_row),
+        f"{work_dir}/report-responses",
+        factory,
+        model,
+        provider,
+        insight_type,
+    )
 
     metadata = clean.sparkSession.range(1).select(
         F.lit(round(time.time() - started, 2)).alias("analysis_time_seconds"),
@@ -119,18 +128,21 @@ def analyze(
     )
 
 
+def _one_row(**parts: DataFrame) -> DataFrame:
+    """One-row frames side by side, each as a struct under its name.
+
+    All but the first come in as scalar subqueries, so there is no join.
+    """
+    (first, frame), *others = parts.items()
+    return frame.select(
+        F.struct("*").alias(first),
+        *[part.select(F.struct("*")).scalar().alias(name) for name, part in others],
+    )
+
+
 def save_results(analysis: Analysis, folder: str) -> tuple[str, str]:
     """All results as one JSON row, and the report as text; gives the paths."""
-    statistics = analysis.statistics.agg(
-        F.sort_array(F.collect_list(F.struct("metric", "key", "value"))).alias("lines")
-    )
-    parts = {
-        f.name: statistics if f.name == "statistics" else getattr(analysis, f.name)
-        for f in fields(analysis)
-    }
-    base = parts.pop("metadata").select(F.struct("*").alias("metadata"))
-    row = base.select(
-        "metadata",
-        *[part.select(F.struct("*")).scalar().alias(name) for name, part in parts.items()],
-    )
-    return write_json(row, folder), write_report(analysis.final_summary, folder)
+    lines = F.sort_array(F.collect_list(F.struct("metric", "key", "value")))
+    parts = {f.name: getattr(analysis, f.name) for f in fields(analysis)}
+    parts["statistics"] = analysis.statistics.agg(lines.alias("lines"))
+    return write_json(_one_row(**parts), folder), write_report(analysis.final_summary, folder)
