@@ -16,8 +16,8 @@ from pyspark.sql.types import (
 
 
 def prompt_key(model: Column, prompt: Column) -> Column:
-    """cache key of a prompt sent to a model."""
-    return F.md5(F.concat_ws(":", model, prompt))
+    """cache key of a prompt sent to a model; null for a null prompt."""
+    return F.md5(F.concat(model, F.lit(":"), prompt))
 
 
 def _as_text(column: Column, kind: DataType) -> Column:

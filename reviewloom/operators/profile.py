@@ -120,6 +120,11 @@ def _summary_groups(df: DataFrame) -> DataFrame:
         F.min("date").alias("start"),
         F.max("date").alias("end"),
     )
+    # An empty table has no groups at all: this row stands for the whole of it.
+    whole = df.sparkSession.range(1).select(
+        F.lit(0b111).cast("bigint").alias("grouping"), F.lit(0).cast("bigint").alias("n")
+    )
+    grouped = grouped.unionByName(whole, allowMissingColumns=True)
     # grouping_id has a bit set for every column that is *not* grouped by.
     kind = (
         F.when(F.col("grouping") == 0b011, F.lit("category"))
