@@ -20,7 +20,7 @@ from ..functions.numbers import tally
 from ..schema import RESPONSE
 from ..sources.response_cache import append_responses, one_answer_per_key, read_responses
 from .clean import require_columns
-from .prompts import with_system_prompt
+from .prompts import pack_prompts, with_system_prompt
 
 #: Builds a client inside a task. A client is called with a prompt and returns the
 #: answer text, or a mapping with ``content`` and, if known, ``tokens_used``, ``cost``.
@@ -130,6 +130,36 @@ def answers_per_prompt(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     return counts.join(cache, "prompt_hash", "left")
 
 
+def unpack_answers(responses: DataFrame, *keep: str) -> DataFrame:
+    """M4: one row per packed prompt, as (*keep, prompt_hash, position, content).
+
+    Needs ``keys`` beside the ``content`` of the packed response. Where the array is
+    short or the answer is no array, content is null and parses to the fallback.
+    """
+    require_columns(responses, "keys", "content")
+    listed = responses.withColumn("_items", answers.packed_items(F.col("content")))
+    exploded = listed.select(
+        *keep, "_items", F.posexplode("keys").alias("position", "prompt_hash")
+    )
+    content = F.get("_items", F.col("position")).alias("content")
+    return exploded.select(*keep, "prompt_hash", "position", content)
+
+
+def share_packed(responses: DataFrame) -> DataFrame:
+    """M4: packed responses as one response per prompt, with the fields of M2.
+
+    Seconds are shared out evenly; tokens and cost go with the first prompt, so that
+    their sums stay those of the requests.
+    """
+    shared = responses.withColumn("response_time", F.col("response_time") / F.size("keys"))
+    carried = [name for name in RESPONSE.names if name != "content"]
+    items = unpack_answers(shared, *carried)
+    first = F.col("position") == 0
+    return items.withColumns(
+        {name: F.when(first, F.col(name)) for name in ("tokens_used", "cost")}
+    ).select("prompt_hash", *RESPONSE.names)
+
+
 def store_answers(
     keyed: DataFrame,
     cache_path: str,
@@ -138,36 +168,29 @@ def store_answers(
     provider: str,
     tasks: int | None = None,
     prompt: str = "prompt",
+    batch_size: int | None = None,
 ) -> DataFrame:
     """Call the model for the prompts not yet stored, and append the answers.
 
     Runs the job and returns the stored table. ``tasks`` is the number of calls in
     flight. It is fixed rather than left to adaptive execution, which would merge the
-    misses by size and so make the calls queue up in a few tasks.
+    misses by size and so make the calls queue up in a few tasks. ``batch_size`` packs
+    that many prompts into one call.
     """
     spark = keyed.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
     misses = cache_misses(keyed, read_responses(spark, cache_path), prompt)
-    spread = misses.repartition(tasks or spark.sparkContext.defaultParallelism, "prompt_hash")
-    responses = infer(spread, client_factory, model, provider, prompt)
+    if batch_size is None:
+        spread = misses.repartition(tasks, "prompt_hash")
+        responses = infer(spread, client_factory, model, provider, prompt)
+    else:
+        packed = pack_prompts(misses, batch_size, prompt=prompt).repartition(tasks, "batch_id")
+        requests = infer(packed, client_factory, model, provider, prompt, keep=("keys",))
+        responses = share_packed(requests)
     append_responses(responses, cache_path)
     return read_responses(spark, cache_path)
 
 
-def unpack_answers(responses: DataFrame, *keep: str) -> DataFrame:
-    """M4: one row per packed prompt, as (*keep, prompt_hash, position, content).
-
-    Needs ``keys`` beside the ``content`` of the packed response. Where the array is
-    short or the answer is no array, content is null and parses to the fallback.
-    """
-    require_columns(responses, "keys", "content")
-    listed = responses.withColumn("_items", answers.packed_items(F.col("content")))
-    exploded = listed.select(
-        *keep, "_items", F.posexplode("keys").alias("position", "prompt_hash")
-    )
-    content = F.get("_items", F.col("position")).alias("content")
-    return exploded.select(*keep, "prompt_hash", "position", content)
-
-
 def cache_stats(keyed: DataFrame, stored: DataFrame) -> DataFrame:
     """Hits, misses, total, hit rate in percent, and number of stored answers."""
     cache = one_answer_per_key(stored)

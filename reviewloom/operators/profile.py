@@ -412,45 +412,44 @@ def boxplot_outliers(df: DataFrame) -> DataFrame:
     return counted.join(bounds, "rating").where(beyond).select("rating", "word_count", "n")
 
 
-def stats_bundle(df: DataFrame, column: str = "comment", k: int = 10) -> DataFrame:
-    """Count, lengths, word frequency and rating distribution in tall form.
+def _statistic(metric: str, key: Column | None, value: Column) -> Column:
+    return F.struct(
+        F.lit(metric).alias("metric"),
+        (F.lit(None) if key is None else key).cast("string").alias("key"),
+        value.cast("double").alias("value"),
+    )
 
-    Counts, lengths and ratings share one scan; words are counted in another, once
-    for both the ranking and the vocabulary.
-    """
 
-    def lines(metric: str, rows: DataFrame, key: Column, value: Column) -> DataFrame:
-        return rows.select(
-            F.lit(metric).alias("metric"),
-            key.cast("string").alias("key"),
-            value.cast("double").alias("value"),
-        )
+def summary_statistics(summary: DataFrame) -> DataFrame:
+    """P18 from a one-row summary: count, lengths and ratings in tall form."""
+    scalars = F.array(
+        _statistic("count", None, F.col("total_records")),
+        _statistic("avg_length", None, F.col("comment_length_stats.average")),
+        _statistic("median_length", None, F.col("comment_length_stats.median")),
+    )
+    ratings = F.transform(
+        F.map_entries("rating_distribution"),
+        lambda entry: _statistic("rating_distribution", entry["key"], entry["value"]),
+    )
+    lines = F.explode(F.concat(scalars, ratings)).alias("line")
+    return summary.select(lines).select("line.*")
 
-    require_columns(df, column)
-    nothing = F.lit(None)
+
+def word_statistics(df: DataFrame, column: str = "comment", k: int = 10) -> DataFrame:
+    """P18 from the words: the k most frequent ones and the vocabulary in tall form.
+
+    The words are counted once for both.
+    """
     counts = word_counts(df, column)
     top = counts.orderBy(F.desc("count"), "word").limit(k)
     size = counts.agg(vocabulary().alias("n"))
-    summary = data_summary(df.withColumn("comments", F.col(column)))
-    names = {
-        "total_records": "count",
-        "average": "avg_length",
-        "median": "median_length",
-        "rating_distribution": "rating_distribution",
-    }
-    name = F.coalesce(
-        *[
-            F.when((F.col("metric") == old) | (F.col("key") == old), F.lit(new))
-            for old, new in names.items()
-        ]
-    )
-    kept = summary.select(
-        F.when(F.col("metric").isin("total_records", "comment_length_stats", "rating_distribution"), name)
-        .alias("metric"),
-        F.when(F.col("metric") == "rating_distribution", F.col("key")).alias("key"),
-        "value",
-    ).where(F.col("metric").isNotNull())
-    return (
-        kept.unionByName(lines("word_frequency", top, F.col("word"), F.col("count")))
-        .unionByName(lines("total_unique_words", size, nothing, F.col("n")))
-    )
+    frequency = _statistic("word_frequency", F.col("word"), F.col("count")).alias("line")
+    total = _statistic("total_unique_words", None, F.col("n")).alias("line")
+    return top.select(frequency).unionByName(size.select(total)).select("line.*")
+
+
+def stats_bundle(df: DataFrame, column: str = "comment", k: int = 10) -> DataFrame:
+    """Count, lengths, word frequency and rating distribution in tall form."""
+    require_columns(df, column)
+    summary = data_summary_row(df.withColumn("comments", F.col(column)))
+    return summary_statistics(summary).unionByName(word_statistics(df, column, k))

@@ -36,14 +36,10 @@ class Analysis:
     metadata: DataFrame  # one row
 
 
-def write_clean(reviews: DataFrame, path: str) -> DataFrame:
-    """Clean reviews, written once and read back.
-
-    The deduplication is the one wide shuffle of the analysis. Read from the written
-    table, every later step takes only its own columns and survives lost executors.
-    """
-    clean_reviews(reviews).write.parquet(path)
-    return reviews.sparkSession.read.parquet(path)
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """The frame, computed once into a table and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sentiment_prompts(clean: DataFrame, model: str, system_prompt: str | None = None) -> DataFrame:
@@ -70,14 +66,16 @@ def analyze(
 ) -> Analysis:
     """Clean, profile, sentiment, topics, report.
 
-    ``work_dir`` is a folder shared by the executors: it takes the clean table of
-    this run and the answers of all runs. ``first_n`` bounds how many reviews, in
+    ``work_dir`` is a folder shared by the executors: it takes the tables of this run
+    and the answers of all runs. ``first_n`` bounds how many reviews, in
     ``order``, go to the model; all of them by default.
     """
-    started = time.time()
+    started, run = time.time(), uuid4().hex
     provider, factory = choose_client(clients, provider)
     cache_path = f"{work_dir}/responses"
-    clean = write_clean(reviews, f"{work_dir}/clean-{uuid4().hex}")
+    # The deduplication is the one wide shuffle of the analysis. Read from the written
+    # table, every later step takes its own columns only and survives lost executors.
+    clean = _written(clean_reviews(reviews), f"{work_dir}/clean-{run}")
     require_rows(clean)
 
     asked = first_rows(clean, first_n, *order)
@@ -97,9 +95,7 @@ def analyze(
         sentiment_analysis=sentiment.sentiment_summary_residual(sentiments, "n_rows"),
         topic_extraction=topics.topic_summary(topic_rows, weight="n_rows"),
     )
-    summary_path = f"{work_dir}/summaries-{uuid4().hex}"
-    summaries.write.parquet(summary_path)
-    summaries = clean.sparkSession.read.parquet(summary_path)
+    summaries = _written(summaries, f"{work_dir}/summaries-{run}")
     data_summary, sentiment_row, topic_row = (
         summaries.select(f"{name}.*") for name in summaries.columns
     )
@@ -112,6 +108,11 @@ def analyze(
         insight_type,
     )
 
+    # Counts, lengths and ratings are in the summary: only the words need the reviews.
+    statistics = profile.summary_statistics(data_summary).unionByName(
+        profile.word_statistics(clean)
+    )
+    statistics = _written(statistics, f"{work_dir}/statistics-{run}")
     metadata = clean.sparkSession.range(1).select(
         F.lit(round(time.time() - started, 2)).alias("analysis_time_seconds"),
         F.lit(provider).alias("primary_provider"),
@@ -120,7 +121,7 @@ def analyze(
     )
     return Analysis(
         data_summary=data_summary,
-        statistics=profile.stats_bundle(clean),
+        statistics=statistics,
         sentiment_analysis=sentiment_row,
         topic_extraction=topic_row,
         final_summary=report,

@@ -16,10 +16,22 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that already exists."""
+#: Aim for the size of one shuffle partition. Adaptive execution merges partitions
+#: that turn out small but never adds any, so the number to start with must fit.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings to a session that already exists.
+
+    Give the size of the input for a large one: 100 TB start with 800,000 shuffle
+    partitions, not with the default 200.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes is not None:
+        partitions = max(200, -(-input_bytes // PARTITION_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     return spark
 
 

@@ -12,8 +12,13 @@ _ANSWER = [name for name in CACHE_ENTRY.names if name != "prompt_hash"]
 
 
 def append_responses(responses: DataFrame, path: str) -> None:
-    """Add answers to the table. This is the action that calls the model."""
-    responses.select(*CACHE_ENTRY.names).write.mode("append").parquet(path)
+    """Add answers to the table. This is the action that calls the model.
+
+    Empty answers are not kept, so their prompts will be asked again. As the table has
+    none, a test whether a prompt is stored needs to read the keys only.
+    """
+    answered = responses.select(*CACHE_ENTRY.names).where(F.col("content") != "")
+    answered.write.mode("append").parquet(path)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -32,14 +37,10 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def one_answer_per_key(stored: DataFrame) -> DataFrame:
-    """Drop empty answers and settle on one where two runs stored the same key.
+    """Settle on one answer where two runs stored the same key.
 
     Grouped by the key on which the lookups join, so it adds no shuffle to them.
     """
     answer = F.min(F.struct(*_ANSWER)).alias("answer")
-    return (
-        stored.where(F.col("content") != "")
-        .groupBy("prompt_hash")
-        .agg(answer)
-        .select("prompt_hash", *[F.col(f"answer.{name}").alias(name) for name in _ANSWER])
-    )
+    fields = [F.col(f"answer.{name}").alias(name) for name in _ANSWER]
+    return stored.groupBy("prompt_hash").agg(answer).select("prompt_hash", *fields)

@@ -200,6 +200,39 @@ def test_unpacking(spark):
     }
 
 
+def test_packed_calls_store_one_answer_per_prompt(reviews, spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    folder = str(tmp_path / "calls")
+
+    def build():
+        import json
+        from uuid import uuid4
+
+        def client(prompt):
+            with open(f"{folder}/{uuid4().hex}", "w") as call:
+                call.write(prompt)
+            lines = [line for line in prompt.split("\n") if line[:1].isdigit()]
+            answers = [{"sentiment": "positive", "reasoning": line.split(". ")[1]} for line in lines]
+            # A request with a full batch gets one answer too few.
+            return {"content": json.dumps(answers[: 4 if len(answers) == 5 else 5]), "tokens_used": 100}
+
+        return client
+
+    keyed = inference.with_prompt_key(reviews, "m")
+    path = str(tmp_path / "cache")
+    stored = inference.store_answers(keyed, path, build, "m", "p", batch_size=5)
+    found = sentiment.parse_sentiments(inference.cache_lookup(keyed, stored, ("review_id",)))
+    answered = {r.review_id: r.reasoning for r in found.collect() if r.sentiment == "positive"}
+    texts = {r.review_id: r.prompt for r in reviews.collect()}
+    assert answered and all(texts[i] == reasoning for i, reasoning in answered.items())
+    # 41 prompts: eight full requests lack one answer each, one request has a single prompt.
+    assert stored.count() == 8 * 4 + 1
+    assert stored.agg(F.sum("tokens_used")).first()[0] == 900
+    assert len(list((tmp_path / "calls").iterdir())) == 9
+    # What was not answered is asked again: two requests, of five and of three.
+    assert inference.store_answers(keyed, path, build, "m", "p", batch_size=5).count() == 33 + 4 + 3
+
+
 def test_misses_are_distinct(reviews, spark):
     keyed = inference.with_prompt_key(reviews, "m")
     cache = keyed.where("prompt = 'same'").select("prompt_hash").distinct()

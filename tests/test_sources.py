@@ -59,7 +59,7 @@ def test_response_cache_round_trip(spark, tmp_path):
     append_responses(spark.createDataFrame([_entry("k1", "one"), _entry("k2", "")], CACHE_ENTRY), path)
     append_responses(spark.createDataFrame([_entry("k1", "two"), _entry("k3", "x")], CACHE_ENTRY), path)
     stored = {r.prompt_hash: r.content for r in read_responses(spark, path).collect()}
-    # One answer per key, the same one every time; an empty answer is none.
+    # One answer per key, the same one every time; an empty answer is not kept.
     assert stored == {"k1": "one", "k3": "x"}
 
 
