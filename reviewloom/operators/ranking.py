@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.numbers import tally
 from .clean import require_columns
@@ -39,6 +40,19 @@ def explode_items(df: DataFrame, items: Column, name: str, *keep: str) -> DataFr
     return placed.where(F.col("_pos").isNotNull())
 
 
+def _place(df: DataFrame, order: list[str]) -> Column:
+    """Something to order items by: the row's place, then the place in the row.
+
+    For a whole-number row key it is one decimal, of fixed width, so that its minimum
+    is kept by a hash aggregation; a struct would have all items sorted first.
+    """
+    kinds = [df.schema[name].dataType for name in order]
+    if len(order) == 1 and isinstance(kinds[0], IntegralType):
+        row = F.col(order[0]).cast("decimal(20,0)")
+        return (row * F.lit(2**31).cast("decimal(10,0)") + F.col("_pos")).cast("decimal(38,0)")
+    return F.struct(*order, "_pos")
+
+
 def item_counts(
     df: DataFrame,
     items: Column,
@@ -53,7 +67,7 @@ def item_counts(
     """
     measures = [tally(weight).alias("count")]
     if first_seen:
-        measures.append(F.min(F.struct(*first_seen, "_pos")).alias("first_seen"))
+        measures.append(F.min(_place(df, first_seen)).alias("first_seen"))
     carried = list(first_seen or []) + ([weight] if weight else [])
     return explode_items(df, items, name, *carried).groupBy(name).agg(*measures)
 

@@ -56,6 +56,38 @@ def test_counts_are_partial_before_the_shuffle(tables):
     assert text.count("regexp_extract_all") == 1
 
 
+def test_first_appearance_needs_no_sort(tables):
+    text = plan(words.word_frequency(tables.read("documents"), "text", first_seen=["doc_id"]))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_hot_prompt_is_split_in_the_lookup(spark):
+    """Two thirds of the rows share a prompt; the limits are scaled down to the data."""
+    limits = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 60_000, 1, 8).selectExpr(
+            "id as review_id", "if(id % 3 < 2, 'same', concat('text ', id)) as prompt"
+        )
+        keyed = inference.with_prompt_key(rows, "m")
+        cache = keyed.where("review_id % 5 = 0").selectExpr("prompt_hash", "'a' as content").distinct()
+        found = inference.cache_lookup(keyed, cache, ("review_id",))
+        assert "skew=true" in final_plan(found)
+        # The hot prompt is answered for all its rows, and so is every fifth of the rest.
+        assert found.where("content = 'a'").count() == 44_000 and found.count() == 60_000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 def test_top_k_per_group_is_cut_before_the_shuffle(tables):
     answers = tables.responses().select(F.col("sentiment_answer").alias("content"))
     text = plan(sentiment.top_emotions(sentiment.parse_sentiments(answers)))
