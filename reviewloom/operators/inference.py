@@ -8,7 +8,8 @@ and all aggregation works on the written table.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..functions import answers
 from ..functions.keys import prompt_key
 from ..functions.numbers import tally
 from ..schema import RESPONSE
+from ..session import shared_folder
 from ..sources.response_cache import append_responses, one_answer_per_key, read_responses
 from .clean import require_columns
 from .prompts import pack_prompts, with_system_prompt
@@ -160,6 +162,26 @@ def share_packed(responses: DataFrame) -> DataFrame:
     ).select("prompt_hash", *RESPONSE.names)
 
 
+def _in_rounds(misses: DataFrame, rounds: int) -> Iterator[DataFrame]:
+    """The misses, or equal shares of them by key range.
+
+    Shares are read from a written table, sorted by key so that a reader of one range
+    skips the pages of the others.
+    """
+    if rounds == 1:
+        yield misses
+        return
+    spark = misses.sparkSession
+    path = f"{shared_folder(spark)}/misses-{uuid4().hex}"
+    misses.sortWithinPartitions("prompt_hash").write.parquet(path)
+    written = spark.read.schema(misses.schema).parquet(path)
+    # Keys are hexadecimal digests, so their first eight digits are spread evenly.
+    bounds = [f"{i * 16**8 // rounds:08x}" for i in range(rounds)]
+    key = F.col("prompt_hash")
+    for low, high in zip(bounds, [*bounds[1:], None], strict=True):
+        yield written.where(key >= low if high is None else (key >= low) & (key < high))
+
+
 def store_answers(
     keyed: DataFrame,
     cache_path: str,
@@ -169,25 +191,28 @@ def store_answers(
     tasks: int | None = None,
     prompt: str = "prompt",
     batch_size: int | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """Call the model for the prompts not yet stored, and append the answers.
 
     Runs the job and returns the stored table. ``tasks`` is the number of calls in
     flight. It is fixed rather than left to adaptive execution, which would merge the
     misses by size and so make the calls queue up in a few tasks. ``batch_size`` packs
-    that many prompts into one call.
+    that many prompts into one call. ``rounds`` stores the answers in that many steps:
+    a job that fails keeps the rounds before, and the next run asks only for the rest.
     """
     spark = keyed.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
     misses = cache_misses(keyed, read_responses(spark, cache_path), prompt)
-    if batch_size is None:
-        spread = misses.repartition(tasks, "prompt_hash")
-        responses = infer(spread, client_factory, model, provider, prompt)
-    else:
-        packed = pack_prompts(misses, batch_size, prompt=prompt).repartition(tasks, "batch_id")
-        requests = infer(packed, client_factory, model, provider, prompt, keep=("keys",))
-        responses = share_packed(requests)
-    append_responses(responses, cache_path)
+    for share in _in_rounds(misses, rounds):
+        if batch_size is None:
+            spread = share.repartition(tasks, "prompt_hash")
+            responses = infer(spread, client_factory, model, provider, prompt)
+        else:
+            packed = pack_prompts(share, batch_size, prompt=prompt).repartition(tasks, "batch_id")
+            requests = infer(packed, client_factory, model, provider, prompt, keep=("keys",))
+            responses = share_packed(requests)
+        append_responses(responses, cache_path)
     return read_responses(spark, cache_path)
 
 

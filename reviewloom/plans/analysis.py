@@ -63,12 +63,14 @@ def analyze(
     insight_type: str = "recommendations",
     system_prompt: str | None = None,
     tasks: int | None = None,
+    rounds: int = 1,
 ) -> Analysis:
     """Clean, profile, sentiment, topics, report.
 
     ``work_dir`` is a folder shared by the executors: it takes the tables of this run
     and the answers of all runs. ``first_n`` bounds how many reviews, in
-    ``order``, go to the model; all of them by default.
+    ``order``, go to the model; all of them by default. ``tasks`` and ``rounds`` are
+    those of ``store_answers``.
     """
     started, run = time.time(), uuid4().hex
     provider, factory = choose_client(clients, provider)
@@ -85,7 +87,7 @@ def analyze(
     both = by_sentiment.select("prompt_hash", "prompt").unionByName(
         by_topic.select("prompt_hash", "prompt")
     )
-    stored = store_answers(both, cache_path, factory, model, provider, tasks)
+    stored = store_answers(both, cache_path, factory, model, provider, tasks, rounds=rounds)
 
     sentiments = sentiment.parse_sentiments(answers_per_prompt(by_sentiment, stored))
     topic_rows = topics.parse_topics(answers_per_prompt(by_topic, stored))

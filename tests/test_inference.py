@@ -200,6 +200,34 @@ def test_unpacking(spark):
     }
 
 
+def test_rounds_keep_what_was_answered_before_a_failure(reviews, spark, tmp_path, calls):
+    keyed = inference.with_prompt_key(reviews, "m")
+    path = str(tmp_path / "cache")
+    keys = sorted(r.prompt_hash for r in keyed.where("prompt is not null").distinct().collect())
+    last = {r.prompt for r in keyed.where(F.col("prompt_hash") == keys[-1]).collect()}.pop()
+    asked = counting_client(calls)
+
+    def build():
+        client = asked()
+
+        def failing(prompt):
+            if prompt == last:
+                raise RuntimeError("gone")
+            return client(prompt)
+
+        return failing
+
+    with pytest.raises(Exception, match="gone"):
+        inference.store_answers(keyed, path, build, "m", "p", rounds=4)
+    kept = {r.prompt_hash for r in read_responses(spark, path).collect()}
+    assert kept == {key for key in keys if key < "c"}
+    before = _calls(calls)
+    stored = inference.store_answers(keyed, path, asked, "m", "p", rounds=3)
+    assert stored.count() == len(set(keys))
+    again = _calls(calls) - before
+    assert sum(again.values()) == len({key for key in keys if key >= "c"})
+
+
 def test_packed_calls_store_one_answer_per_prompt(reviews, spark, tmp_path):
     (tmp_path / "calls").mkdir()
     folder = str(tmp_path / "calls")
