@@ -1,9 +1,14 @@
-"""Cleaning."""
+"""Cleaning."""
+
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from reviewloom.functions import parsing
 from reviewloom.operators import clean
+from reviewloom.schema import RAW_REVIEWS
+from reviewloom.session import shared_folder
+from reviewloom.sources.reviews import read_reviews
 
 from .inputs import COMMENT_SQL, DATE_SQL, ISO, RATING_INT_SQL, RATING_SQL, TOKENS, VOTES_SQL, ctes
 from .registry import query
@@ -22,6 +27,21 @@ def clean_reviews(t):
     return _dated(t.clean())
 
 
+@query(
+    "csv_scan",
+    ctes("raw") + "select title, rating, date, category, comments as comment, nullif(useful, '') as useful from raw",
+)
+def csv_scan(t):
+    """Writes the reviews as Latin-1 CSV files under their original headers, reads them."""
+    path = f"{shared_folder(t.spark)}/reviews-{uuid4().hex}"
+    columns = ["title", "customer_name", "rating", "date", "category", "comments", "useful"]
+    named = t.raw().repartition("review_id").select(*columns).toDF(*RAW_REVIEWS.names)
+    named.write.options(
+        header=True, encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return clean.canonical_names(clean.drop_personal(read_reviews(t.spark, path)))
+
+
 @query("dedup_rows", ctes("raw") + "select distinct * from raw")
 def dedup_rows(t):
     return clean.drop_duplicate_rows(t.raw())

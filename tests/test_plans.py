@@ -12,7 +12,7 @@ from reviewloom.operators import inference, profile, sentiment, topics, words
 from reviewloom.operators.clean import clean_reviews
 
 #: Queries that run jobs of their own while they are built.
-EAGER = {"cache_first", "full_analysis", "describe_numbers"}
+EAGER = {"cache_first", "csv_scan", "full_analysis", "describe_numbers"}
 
 
 def plan(df) -> str:
