@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from reviewloom.operators import inference, prompts, sentiment, topics
 from reviewloom.operators.inference import with_prompt_key
 from reviewloom.plans.analysis import sentiment_prompts
+from reviewloom.schema import CACHE_ENTRY
 from reviewloom.session import shared_folder
+from reviewloom.sources.response_cache import one_answer_per_key
 
 from .inputs import ctes, quoted
 from .registry import query
@@ -213,15 +215,9 @@ _CACHE = dict(
 def _cache_parts(t):
     """Comments as prompts, and a store that has the answers of one provider."""
     keyed = with_prompt_key(t.clean().withColumn("prompt", F.col("comment")), MODEL)
-    fields = t.read("documents").select(
-        F.col("doc_id").alias("review_id"), F.lower(F.trim("text")).alias("prompt")
-    )
-    answered = t.responses().where(F.col("provider") == "provider_a").join(fields, "review_id")
-    stored = with_prompt_key(answered, MODEL).select(
-        "prompt_hash",
-        F.col("sentiment_answer").alias("content"),
-        *[F.col(c) for c in ("model", "provider", "tokens_used", "response_time", "cost")],
-    )
+    answered = t.responses("lower(trim(text))").where(F.col("provider") == "provider_a")
+    stored = with_prompt_key(answered, MODEL).withColumnRenamed("sentiment_answer", "content")
+    stored = stored.select(*CACHE_ENTRY.names)
     return keyed, stored
 
 
@@ -232,7 +228,7 @@ def _cache_parts(t):
 )
 def cache_lookup(t):
     keyed, stored = _cache_parts(t)
-    found = inference.cache_lookup(keyed, inference.one_answer_per_key(stored), ("review_id",))
+    found = inference.cache_lookup(keyed, one_answer_per_key(stored), ("review_id",))
     return found.select("review_id", "prompt_hash", F.col("content").isNotNull().alias("hit"))
 
 

@@ -73,9 +73,9 @@ class Tables:
     def clean(self) -> DataFrame:
         return clean_reviews(self.raw())
 
-    def responses(self) -> DataFrame:
+    def responses(self, prompt: str = "text") -> DataFrame:
         """Model answers: good, fenced, an array where an object was due, no JSON."""
-        return self._derived(RESPONSE_FIELDS)
+        return self._derived({**RESPONSE_FIELDS, "prompt": prompt})
 
 
 # ---- the same inputs for the check

@@ -36,33 +36,37 @@ def strip_fences(content: Column) -> Column:
     )
 
 
-def with_json_object(df: DataFrame, content: str, schema: StructType, into: str) -> DataFrame:
-    """add the answer as a struct, null unless it is exactly one JSON object.
+def object_list(content: Column, schema: StructType) -> Column:
+    """the answer's JSON object as the only element of an array.
 
-    Read as the only element of an array: a parser that is handed bare text stops
-    after the first value and gives a struct of nulls for text that is no object.
-    In two steps, so that the text is parsed once although the array is used twice.
+    Empty, null or longer when the answer is not exactly one object. A parser that is
+    handed bare text stops after the first value and gives a struct of nulls for text
+    that is no object; in brackets, both show.
     """
-    wrapped = F.concat(F.lit("["), strip_fences(F.col(content)), F.lit("]"))
-    listed = df.withColumn(into, F.from_json(wrapped, ArrayType(schema), _STRICT))
-    return listed.withColumn(into, F.when(F.size(into) == 1, F.get(into, F.lit(0))))
+    wrapped = F.concat(F.lit("["), strip_fences(content), F.lit("]"))
+    return F.from_json(wrapped, ArrayType(schema), _STRICT)
 
 
 def with_sentiment_answer(df: DataFrame, content: str, into: str) -> DataFrame:
-    """M5: add the sentiment struct of an answer, or the neutral fallback."""
+    """M5: add the sentiment struct of an answer, or the neutral fallback.
+
+    In two steps, so that the text is parsed once although its list is used twice.
+    """
     fallback = F.struct(
         F.lit(FALLBACK_SENTIMENT).alias("sentiment"),
         F.lit(FALLBACK_CONFIDENCE).alias("confidence"),
         F.lit(FALLBACK_REASONING).alias("reasoning"),
         F.lit(None).cast("array<string>").alias("key_emotions"),
     )
-    parsed = with_json_object(df, content, SENTIMENT_ANSWER, into)
-    return parsed.withColumn(into, F.coalesce(into, fallback))
+    listed = df.withColumn(into, object_list(F.col(content), SENTIMENT_ANSWER))
+    answer = F.when(F.size(into) == 1, F.get(into, F.lit(0)))
+    return listed.withColumn(into, F.coalesce(answer, fallback))
 
 
-def with_topic_answer(df: DataFrame, content: str, into: str) -> DataFrame:
-    """M6: add the topic struct of an answer, null when it cannot be read."""
-    return with_json_object(df, content, TOPIC_ANSWER, into)
+def with_topic_list(df: DataFrame, content: str, into: str) -> DataFrame:
+    """M6: add a list of one topic struct; null when the answer cannot be read."""
+    listed = df.withColumn(into, object_list(F.col(content), TOPIC_ANSWER))
+    return listed.withColumn(into, F.when(F.size(into) == 1, F.col(into)))
 
 
 def packed_items(content: Column) -> Column:

@@ -20,7 +20,7 @@ from ..functions.keys import prompt_key
 from ..functions.numbers import tally
 from ..schema import RESPONSE
 from ..session import shared_folder
-from ..sources.response_cache import append_responses, one_answer_per_key, read_responses
+from ..sources.response_cache import append_responses, read_responses
 from .clean import require_columns
 from .prompts import pack_prompts, with_system_prompt
 
@@ -98,12 +98,13 @@ def cache_misses(keyed: DataFrame, cache: DataFrame, prompt: str = "prompt") ->
     """Distinct prompts that have no stored answer, as (prompt_hash, prompt).
 
     Equal prompts collapse before the shuffle, and the grouping key is also the join
-    key, so a text moves once at most.
+    key, so a text moves once at most. Null prompts are dropped after the grouping: a
+    filter ahead of it would render every prompt twice.
     """
     distinct = (
-        keyed.where(F.col(prompt).isNotNull())
-        .groupBy("prompt_hash")
+        keyed.groupBy("prompt_hash")
         .agg(F.any_value(prompt).alias(prompt))
+        .where(F.col(prompt).isNotNull())
     )
     return distinct.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
 
@@ -125,9 +126,9 @@ def answers_per_prompt(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     answer is parsed once. Feed it to the aggregations with ``weight="n_rows"``.
     """
     counts = (
-        keyed.where(F.col("prompt_hash").isNotNull())
-        .groupBy("prompt_hash")
-        .agg(tally().alias("n_rows"))
+        keyed.groupBy("prompt_hash")
+        .agg(F.count("prompt_hash").alias("n_rows"))
+        .where(F.col("n_rows") > 0)
     )
     return counts.join(cache, "prompt_hash", "left")
 
@@ -218,11 +219,10 @@ def store_answers(
 
 def cache_stats(keyed: DataFrame, stored: DataFrame) -> DataFrame:
     """Hits, misses, total, hit rate in percent, and number of stored answers."""
-    cache = one_answer_per_key(stored)
-    looked_up = answers_per_prompt(keyed, cache.select("prompt_hash", "content"))
-    counts = looked_up.agg(
-        tally("n_rows", F.col("content").isNotNull()).alias("hits"),
-        tally("n_rows", F.col("content").isNull()).alias("misses"),
+    known = stored.select("prompt_hash").distinct().withColumn("stored", F.lit(True))
+    counts = answers_per_prompt(keyed, known).agg(
+        tally("n_rows", F.col("stored").isNotNull()).alias("hits"),
+        tally("n_rows", F.col("stored").isNull()).alias("misses"),
         tally("n_rows").alias("total"),
     )
     rate = F.coalesce(F.try_divide(F.col("hits") * F.lit(100.0), "total"), F.lit(0.0))

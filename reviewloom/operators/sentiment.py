@@ -114,20 +114,26 @@ def polarity_trend(df: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
+def _felt(*labels: str) -> Column:
+    """Emotions of the answers with these labels, none for the others.
+
+    Not a filter on the label, which would be moved below the parsing of the answers
+    and parse them twice.
+    """
+    return F.when(F.col("sentiment").isin(*labels), answers.items(F.col("key_emotions")))
+
+
 def top_emotions(df: DataFrame, k: int = 5, weight: str | None = None) -> DataFrame:
     """The k most frequent emotions of positive and of negative answers."""
-    polar = df.where(F.col("sentiment").isin(POSITIVE, NEGATIVE))
     carried = [weight] if weight else []
-    felt = answers.items(F.col("key_emotions"))
-    emotions = explode_items(polar, felt, "emotion", "sentiment", *carried)
+    emotions = explode_items(df, _felt(POSITIVE, NEGATIVE), "emotion", "sentiment", *carried)
     counts = emotions.groupBy("sentiment", "emotion").agg(tally(weight).alias("count"))
     return top_k_per_group(counts, "sentiment", "emotion", k)
 
 
 def emotion_counts(df: DataFrame, first_seen: list[str], label: str = POSITIVE) -> DataFrame:
     """Emotions of one polarity with their first appearance, for ties by order."""
-    rows = df.where(F.col("sentiment") == label)
-    return item_counts(rows, answers.items(F.col("key_emotions")), "emotion", first_seen=first_seen)
+    return item_counts(df, _felt(label), "emotion", first_seen=first_seen)
 
 
 def summary_prompt(summary: DataFrame) -> DataFrame:

@@ -14,10 +14,14 @@ RANKED = ("main_topics", "issues", "praise")
 
 
 def parse_topics(df: DataFrame, content: str = "content") -> DataFrame:
-    """M6: replace the answer text by its topic fields; unreadable answers go."""
-    parsed = answers.with_topic_answer(df, content, "_answer")
-    parsed = parsed.where(F.col("_answer").isNotNull())
-    return parsed.select(*[c for c in df.columns if c != content], "_answer.*")
+    """M6: replace the answer text by its topic fields; unreadable answers go.
+
+    They go as empty lists: a filter on the parsed answer would parse it once more.
+    """
+    keep = [name for name in df.columns if name != content]
+    listed = answers.with_topic_list(df, content, "_list")
+    read = explode_items(listed, F.col("_list"), "_answer", *keep)
+    return read.where(F.col("_answer").isNotNull()).select(*keep, "_answer.*")
 
 
 def _top(df: DataFrame, field: str, name: str, k: int, weight: str | None) -> DataFrame:

@@ -113,7 +113,19 @@ def test_summary_scans_once(tables):
 
 def test_answers_are_parsed_once(tables):
     answers = tables.responses().select("review_id", F.col("sentiment_answer").alias("content"))
-    assert plan(sentiment.parse_sentiments(answers)).count("from_json") == 1
+    parsed = sentiment.parse_sentiments(answers)
+    assert plan(parsed).count("from_json") == 1
+    assert plan(sentiment.sentiment_summary(parsed)).count("from_json") == 1
+    assert plan(sentiment.top_emotions(parsed)).count("from_json") == 1
+    answers = tables.responses().select("review_id", F.col("topic_answer").alias("content"))
+    assert plan(topics.top_topics(topics.parse_topics(answers))).count("from_json") == 1
+
+
+def test_prompts_are_hashed_once(tables, spark):
+    keyed = inference.with_prompt_key(tables.read("documents").withColumnRenamed("text", "prompt"), "m")
+    cache = spark.createDataFrame([("k", "c")], "prompt_hash string, content string")
+    assert plan(inference.answers_per_prompt(keyed, cache)).count("md5(") == 1
+    assert plan(inference.cache_misses(keyed, cache)).count("md5(") == 1
 
 
 def test_prompts_are_not_shuffled_for_a_lookup(tables, spark):
