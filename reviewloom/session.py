@@ -16,36 +16,42 @@ SETTINGS = {
 }
 
 
-#: Aim for the size of one shuffle partition. Adaptive execution merges partitions
-#: that turn out small but never adds any, so the number to start with must fit.
-PARTITION_BYTES = 128 * 1024 * 1024
+#: Aims for large inputs. Adaptive execution merges shuffle partitions that turn out
+#: small but never adds any, so the number to start with must fit; and both numbers are
+#: kept in the range where the blocks between map and reduce tasks can be tracked.
+PARTITION_BYTES = 1024**3
+SPLIT_BYTES = 512 * 1024**2
+FEW_PARTITIONS = 200
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     """Apply the settings to a session that already exists.
 
-    Give the size of the input for a large one: 100 TB start with 800,000 shuffle
-    partitions, not with the default 200.
+    Give the size of the input for a large one: 100 TB are then read in some 190,000
+    splits and start with some 93,000 shuffle partitions, not with the default 200.
     """
-    for key, value in SETTINGS.items():
+    settings = dict(SETTINGS)
+    if input_bytes is not None and input_bytes > FEW_PARTITIONS * PARTITION_BYTES:
+        partitions = -(-input_bytes // PARTITION_BYTES)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(partitions)
+        settings["spark.sql.files.maxPartitionBytes"] = str(SPLIT_BYTES)
+    for key, value in settings.items():
         spark.conf.set(key, value)
-    if input_bytes is not None:
-        partitions = max(200, -(-input_bytes // PARTITION_BYTES))
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables, reachable from every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a
-    test on one machine) a fresh temporary folder is taken and remembered.
+    The cluster names it in ``spark.checkpoint.dir``, or a job does so by setting the
+    checkpoint folder of its context. Only where neither is the case, which is a test
+    on one machine, a fresh temporary folder is taken and kept as the context's.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="reviewloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewloom-"))
+    return context.getCheckpointDir()
