@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ LEAF = 2048
 #: Characters of a text above which its pieces are encoded by tasks of their own.
 PIECE = 1 << 18
 #: Words remembered by a task.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first and last character of each
 
@@ -134,38 +136,115 @@ def encode_tree(tokenizer, text: str, leaf: int = LEAF) -> Tokens:
 
 
 class WordTable(dict):
-    """Word (UTF-8) -> what ``make`` gives for its tokens; encodes words it doesn't have."""
+    """Word (UTF-8) -> what ``make`` gives for its tokens; encodes words it doesn't have.
 
-    def __init__(self, path: str, make: Callable, special_as_text: bool = False):
-        super().__init__()
-        self.tokenizer, self.make = load(path, special_as_text), make
+    ASCII capitals, a closing mark after letters, and words met before are looked up in
+    the table itself. When it is full it becomes the old one, from which words that come
+    again are taken over, so the frequent ones stay and memory is bounded.
+    """
 
-    def __missing__(self, word: bytes):
+    def __init__(self, path: str, make: Callable, plus: Callable, special_as_text: bool = False):
+        super().__init__()
+        self.tokenizer, self.make, self.plus = load(path, special_as_text), make, plus
+        self.old: dict = {}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith(_WORD_END)]
+        self.ends = np.zeros(max(ends, default=0) + 2, dtype=bool)
+        self.ends[ends] = True
+
+    def words(self, texts: list) -> list[list[bytes]]:
+        """Words of each text; those that are new are encoded together."""
+        lists = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        new = set().union(*lists)
+        new.difference_update(self.keys())
+        new.difference_update(self.old.keys())
+        bases = set()
+        for word in new:
+            base = word.lower()
+            base = base[:-1] if base[-1:] in _CLOSING else base
+            if len(base) <= 64:
+                bases.add(base)
+        bases.difference_update(self.keys())
+        letters = [(b, t) for b, t in ((b, b.decode("utf-8", "replace")) for b in bases) if t.isalpha()]
+        if letters:
+            # letters alone are one word to the tokenizer, whose last token says so
+            text = " ".join(t for _, t in letters)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            last = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(last) == len(letters):
+                flat, start = ids.tolist(), 0
+                for (base, _), end in zip(letters, last.tolist()):
+                    self._keep(base, self.make(flat[start:end]))
+                    start = end
+        return lists
+
+    def _keep(self, word: bytes, value) -> None:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if len(text) <= LEAF:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = encode_tree(self.tokenizer, text)[0].tolist()
-        value = self.make(ids)
+        self[word] = value
+
+    def __missing__(self, word: bytes):
+        value = self.old.get(word)
+        if value is None:
+            value = self._made(word)
         if len(word) <= 64:
-            self[word] = value
+            self._keep(word, value)
         return value
 
+    def _made(self, word: bytes):
+        text = word.decode("utf-8", "replace")
+        if b"<|" not in word:  # capitals may tell a word from a special token
+            low = word.lower()
+            if low != word:
+                return self[low]
+            if word[-1:] in _CLOSING and len(word) > 1 and text[:-1].isalpha():
+                return self.plus(self[word[:-1]], self[word[-1:]])
+        if len(text) <= LEAF:
+            return self.make(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.make(encode_tree(self.tokenizer, text)[0].tolist())
+
+
+_WORD_END = "</w>"
+_CLOSING = frozenset([b".", b",", b";", b":", b"!", b"?", b")"])
+_TABLES: dict = {}
+
+
+def task_table(kind, path: str, *more) -> WordTable:
+    """The table of this Python worker, kept from one task to the next."""
+    key = (kind, path, *more)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = kind(path, *more)
+    return _TABLES[key]
+
 
 def binary(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
 
 class IdTable(WordTable):
     """Whole texts to their ids as little-endian 32-bit numbers."""
 
     def __init__(self, path: str, special_as_text: bool = False):
-        super().__init__(path, binary, special_as_text)
+        super().__init__(path, binary, bytes.__add__, special_as_text)
+
+    def ids(self, texts: list) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, words)) for words in self.words(texts)]
+
+
+class ShortTable(IdTable):
+    """The same with 16-bit numbers, for vocabularies below 65,536."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
+        WordTable.__init__(self, path, lambda ids: array("H", ids).tobytes(), bytes.__add__, special_as_text)
+
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+class DecimalTable(WordTable):
+    """Words to their ids in decimal, joined by a space."""
+
+    def __init__(self, path: str):
+        super().__init__(path, lambda ids: " ".join(map(str, ids)), lambda a, b: f"{a} {b}" if a and b else a or b)
+        self.decoder = WordDecoder(self.tokenizer)
 
 
 def _digest(text: str) -> str:
@@ -184,17 +263,13 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
     named = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordTable(path, lambda ids: " ".join(map(str, ids)))
-        tokens = None
+        table = task_table(DecimalTable, path)
         for batch in batches:
             rows = []
-            for value in batch["t"]:
-                words = (value or "").encode("utf-8", "replace").split()
+            for words in table.words(batch["t"].tolist()):
                 parts = list(map(table.__getitem__, words))
                 ids = " ".join(filter(None, parts))
-                if tokens is None:
-                    tokens = WordDecoder(table.tokenizer)
-                rows.append((ids.count(" ") + 1 if ids else 0, _digest(ids), _digest(tokens.text(parts))))
+                rows.append((ids.count(" ") + 1 if ids else 0, _digest(ids), _digest(table.decoder.text(parts))))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, key, batch["k"].values)
             yield out
@@ -210,13 +285,16 @@ class WordDecoder(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
 
     def __missing__(self, ids: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = self.tokenizer.decode([int(x) for x in ids.split()], skip_special_tokens=False)
+        text = self.old.get(ids)
+        if text is None:
+            text = self.tokenizer.decode([int(x) for x in ids.split()], skip_special_tokens=False)
         if len(ids) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[ids] = text
         return text
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IdTable, binary
+from .bpe import IdTable, binary, task_table
 from .common import prepared, stored
 
 #: Open sequences of a task, and tasks whose open sequences are merged by one task.
@@ -121,12 +121,11 @@ def pack(
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        table, end = IdTable(path), binary([eod])
+        table, end = task_table(IdTable, path), binary([eod])
         packer = Packer(size, TaskContext.get().partitionId(), 0)
         for batch in batches:
-            for k, t in zip(batch["k"], batch["t"]):
-                ids = table.ids(t) + end
-                packer.add(k, 0, len(ids) // 4, ids)
+            for k, ids in zip(batch["k"], table.ids(batch["t"].tolist())):
+                packer.add(k, 0, len(ids) // 4 + 1, ids + end)
             yield from packer.drain(ROWS_OUT)
         packer.leave()
         yield from packer.drain()

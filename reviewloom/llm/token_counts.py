@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordTable
+from .bpe import IdTable, ShortTable, task_table
 from .common import prepared
 
 #: Bytes of a block.
@@ -49,6 +49,8 @@ def write_blocks(
     fit in ``width`` bytes; strings of special tokens are ordinary text, so that only
     document ends give the ``eod``.
     """
+    if width not in (2, 4):
+        raise ValueError("ids have 2 or 4 bytes")
     prepared(df.sparkSession)
     named = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind, dtype = dict(named.dtypes)["k"], f"<u{width}"
@@ -56,12 +58,12 @@ def write_blocks(
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        table = WordTable(path, lambda ids: np.array(ids, dtype=dtype).tobytes(), special_as_text=True)
+        table = task_table(ShortTable if width == 2 else IdTable, path, True)
         end, name = np.array([eod], dtype=dtype).tobytes(), str(TaskContext.get().partitionId())
         buffer, keys, number = bytearray(), [], 0
         for batch in batches:
-            for k, t in zip(batch["k"], batch["t"]):
-                buffer += b"".join(map(table.__getitem__, (t or "").encode("utf-8", "replace").split())) + end
+            for k, ids in zip(batch["k"], table.ids(batch["t"].tolist())):
+                buffer += ids + end
                 keys.append(None if pd.isna(k) else k)
                 while len(buffer) >= block:
                     yield pd.DataFrame({"file": [name], "block": [number], "data": [bytes(buffer[:block])], "keys": [keys]})
