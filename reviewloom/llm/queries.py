@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, packing, token_counts
+from . import bpe, chat, html_text, packing, substrings, token_counts
 from .common import prepared, stored
 from .sql import SQL  # noqa: F401
 
@@ -70,3 +70,9 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(rows.union(extra)))
+
+
+@query
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
