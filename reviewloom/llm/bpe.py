@@ -29,7 +29,7 @@ LEAF = 2048
 #: Characters of a text above which its pieces are encoded by tasks of their own.
 PIECE = 1 << 18
 #: Words remembered by a task.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first and last character of each
 
@@ -154,16 +154,19 @@ class WordTable(dict):
     def words(self, texts: list) -> list[list[bytes]]:
         """Words of each text; those that are new are encoded together."""
         lists = [(text or "").encode("utf-8", "replace").split() for text in texts]
-        new = set().union(*lists)
-        new.difference_update(self.keys())
-        new.difference_update(self.old.keys())
-        bases = set()
-        for word in new:
+        made, bases = [], set()
+        for word in set().union(*lists):
+            if word in self or len(word) > 64:
+                continue
+            if word in self.old:
+                self._keep(word, self.old[word])
+                continue
             base = word.lower()
-            base = base[:-1] if base[-1:] in _CLOSING else base
-            if len(base) <= 64:
+            tail = base[-1:] if base[-1:] in _CLOSING else b""
+            base = base[:-1] if tail else base
+            made.append((word, base, tail))
+            if base not in self:
                 bases.add(base)
-        bases.difference_update(self.keys())
         letters = [(b, t) for b, t in ((b, b.decode("utf-8", "replace")) for b in bases) if t.isalpha()]
         if letters:
             # letters alone are one word to the tokenizer, whose last token says so
@@ -171,10 +174,15 @@ class WordTable(dict):
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
             last = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(last) == len(letters):
-                flat, start = ids.tolist(), 0
+                flat, start, fresh = ids.tolist(), 0, {}
                 for (base, _), end in zip(letters, last.tolist()):
-                    self._keep(base, self.make(flat[start:end]))
+                    fresh[base] = self.make(flat[start:end])
                     start = end
+                for word, base, tail in made:
+                    if base in fresh:
+                        self._keep(word, self.plus(fresh[base], self[tail]) if tail else fresh[base])
+                        if word != base:
+                            self._keep(base, fresh[base])
         return lists
 
     def _keep(self, word: bytes, value) -> None:
