@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, packing, substrings, token_counts
+from . import bpe, chat, html_text, jaccard, packing, substrings, token_counts
 from .common import prepared, stored
 from .sql import SQL  # noqa: F401
 
@@ -76,3 +76,9 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.dedup(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of 90 % or more between the sets of three-word shingles of all documents."""
+    return jaccard.classes(table(spark, folder, "documents"), k=3, num=9, den=10)
