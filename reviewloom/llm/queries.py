@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, jaccard, packing, substrings, token_counts
+from . import bpe, chat, html_text, jaccard, neighbours, packing, quality, substrings, token_counts
 from .common import prepared, stored
 from .sql import SQL  # noqa: F401
 
@@ -82,3 +82,19 @@ def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Links of 90 % or more between the sets of three-word shingles of all documents."""
     return jaccard.classes(table(spark, folder, "documents"), k=3, num=9, den=10)
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("key") % 100 == 0)
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "bad_odds", "kept")
