@@ -2,7 +2,9 @@
 
 Evidence of a document: log likelihood ratios of the features it has, learned from
 labelled documents. Features are its words, lower-cased and without marks around them,
-and what its form is like: shares of capitals, of marks, of repeated lines.
+the first letters of longer words (a stem with many endings is one feature), and what its
+form is like: shares of capitals, of marks, of repeated lines. Only features that a good
+part of the bad documents have count, so that words of a few copied texts do not.
 
 Prior of a document: how often documents of its place turn out bad. Places form levels,
 here the host (``source``) and the path below it (``lang``). The expected number of bad
@@ -25,10 +27,13 @@ from .common import prepared, stored
 
 #: Labelled documents that are fitted on at most, chosen by a hash of their key.
 LABELLED = 20_000
-#: Features kept at most, and documents of a class that a feature must be in.
-FEATURES, SEEN = 5_000, 4
-#: Evidence a feature must give at least, in log odds, and that it counts for at most.
-LEAST, MOST = 1.5, 8.0
+#: Features kept at most; documents, and share of the bad ones, that a feature must be in.
+FEATURES, SEEN, SHARE = 5_000, 4, 0.02
+#: Evidence a feature must give at least, in log odds and in standard errors, and that it
+#: counts for at most.
+LEAST, SURE, MOST = 3.0, 3.3, 8.0
+#: Lengths of the beginnings of words that are features, in bytes.
+STEMS = (4, 5)
 _EDGES = (0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75)
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -39,6 +44,8 @@ def features(text: str | None) -> set[bytes]:
     words = raw.split()
     found = {w.strip(_MARKS).lower() for w in set(words)}
     found.discard(b"")
+    for size in STEMS:
+        found |= {b"\x01" + w[:size] for w in found if len(w) > size and w[0] != 1}
     n = max(1, len(raw))
     letters = np.frombuffer(raw, dtype=np.uint8)
     capitals = int(((letters >= 65) & (letters <= 90)).sum())
@@ -87,18 +94,19 @@ def learn(df: DataFrame, labels: DataFrame, bad: str, text: str = "text", key: s
     if total is None or not total.bad or not total.good:
         return {}
     ratio = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.good + 1))
-    chosen = counts.where("f <> X''").withColumn("llr", ratio).where(F.abs("llr") >= LEAST)
-    # a feature must be told from chance: its ratio against the error of its smaller count
-    sure = F.abs("llr") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    chosen = chosen.withColumn("sure", sure).where("sure >= 3")
+    chosen = counts.where("f <> X''").where(F.col("bad") >= SHARE * total.bad).withColumn("llr", ratio)
+    # the ratio against its standard error, which the smaller count sets
+    sure = F.col("llr") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    chosen = chosen.withColumn("sure", sure).where(f"llr >= {LEAST} and sure >= {SURE}")
     rows = chosen.orderBy(F.desc("sure"), "f").limit(FEATURES).select("f", "llr").collect()
     return {bytes(r.f): max(-MOST, min(MOST, float(r.llr))) for r in rows}
 
 
 def posterior(
-    df: DataFrame, models: list[dict[bytes, float]], rates: list[float], levels: list[str], text: str = "text"
-) -> DataFrame:
-    """``df`` with ``bad_odds``: log odds that a document is bad in the likeliest way.
+    df: DataFrame, models: list[dict[bytes, float]], rates: list[float], levels: list[str],
+    text: str = "text", keep: list[str] | None = None,
+) -> DataFrame:
+    """``df``, or its columns to ``keep``, with ``bad_odds``: log odds that a document is bad in the likeliest way.
 
     ``models`` and their overall ``rates`` stand for the ways to be bad. ``levels`` name
     the columns of the places from the top down; null is a place of its own. An empty or
@@ -111,13 +119,15 @@ def posterior(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [features(t) for t in batch[body]]
-            out = batch.copy()
+            out = batch[carried].copy()
             for i, model in enumerate(models):
                 held = model.keys()
                 out[f"e{i}"] = [float(sum(model[f] for f in held & fs)) for fs in found]
             yield out
 
-    fields = ", ".join(f"{inner[c]} {kind}" for c, kind in df.dtypes)
+    names = [c for c in df.columns if keep is None or c in keep or c in levels]
+    carried = [inner[c] for c in names]
+    fields = ", ".join(f"{inner[c]} {kind}" for c, kind in df.dtypes if c in names)
     more = "".join(f", e{i} double" for i in range(n))
     rows = stored(df.toDF(*inner.values()).mapInPandas(score, fields + more), "scored")
     out = rows
@@ -157,16 +167,20 @@ def posterior(
             out = out.drop("up", *[f"l{j}" for j in range(len(above))])
     each = [F.col(f"e{i}") + F.col(f"p{i}") for i in range(n)]
     top = F.greatest(*each) if n > 1 else each[0] if n else F.lit(float("-inf"))
-    return out.select(*[F.col(inner[c]).alias(c) for c in df.columns], top.alias("bad_odds"))
+    return out.select(*[F.col(inner[c]).alias(c) for c in (keep or df.columns)], top.alias("bad_odds"))
 
 
 #: What makes a document bad, as conditions on its labels.
 WAYS = ("quality = 0", "toxic = 1")
 
 
-def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def classify(
+    df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None
+) -> DataFrame:
     """``df`` with ``bad_odds`` and ``kept``: false where a document is more likely bad.
 
+    ``keep`` names the columns to carry along, all by default.
+
     Labels are (key, quality, toxic), with nulls where not known. Documents of either kind
     are rejected. Rows stay as they are, repeated ones too; every null or empty text gets
     a decision. Without labels all are kept. Columns of these two names are replaced.
@@ -179,5 +193,5 @@ def classify(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
         seen = labels.agg(F.avg(F.expr(way).cast("double"))).first()[0]
         rates.append(seen or 0.0)
     levels = [c for c in ("source", "lang") if c in plain.columns]
-    out = posterior(plain, models, rates, levels, text)
+    out = posterior(plain, models, rates, levels, text, keep)
     return out.withColumn("kept", F.col("bad_odds") <= 0)

@@ -96,5 +96,5 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    out = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
     return out.select("doc_id", "bad_odds", "kept")
