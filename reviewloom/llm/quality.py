@@ -76,7 +76,9 @@ def learn(df: DataFrame, labels: DataFrame, bad: str, text: str = "text", key: s
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.expr(bad).cast("int").alias("bad"))
     marked = marked.where("bad is not null and k is not null").groupBy("k").agg(F.max("bad").alias("bad"))
     marked = marked.orderBy(F.xxhash64("k"), "k").limit(LABELLED)
-    known = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(marked, "k").select("t", "bad")
+    known = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(
+        F.broadcast(marked), "k"  # LABELLED rows of a key and a number at most
+    ).select("t", "bad")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
