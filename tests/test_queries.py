@@ -2,9 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from compare import differences, duck
 from conftest import SMALL
+from querybook import RUN, SQL
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +13,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(RUN) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(RUN))
 def test_query(spark, con, name):
-    assert differences(queries()[name](spark, SMALL), con, oracle_sql()[name]) == []
+    assert differences(RUN[name](spark, SMALL), con, SQL[name]) == []
