@@ -190,6 +190,8 @@ def classes(
         """Per batch: a row (k, n, sid) for each text, and rows (sid, candidate)."""
         edges = bands(1000)
         for batch in batches:
+            if not len(batch):
+                continue
             known, texts = {}, []
             for name, values in zip(batch["k"].tolist(), shingle_sets(batch["t"].tolist(), k)):
                 sid = set_id(values) if len(values) else None
@@ -198,8 +200,9 @@ def classes(
                     if len(values) >= edges[-2]:
                         edges = bands(2 * len(values))
                     known[sid] = keys(values, num, den, edges)
-            out = pd.DataFrame(texts, columns=["k", "n", "sid"])
-            out = out.astype({"k": "Int64", "n": "Int64", "sid": "Int64"})
+            # nullable integers from the start: a column with a null would become float
+            whole = lambda values: pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
+            out = pd.DataFrame({name: whole(column) for name, column in zip(["k", "n", "sid"], zip(*texts))})
             out["candidate"] = pd.array([None] * len(out), dtype="Int64")
             yield out
             if known:

@@ -1,0 +1,20 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+
+@pytest.fixture(scope="session")
+def path():
+    from reviewloom.llm.queries import word_bpe
+
+    return word_bpe()
+
+
+@pytest.fixture(scope="session")
+def tokenizer(path):
+    from reviewloom.llm.bpe import load
+
+    return load(path)
