@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from conftest_llm import path, tokenizer  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

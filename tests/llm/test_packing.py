@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from conftest_llm import prose
+from conftest_llm import path, prose, tokenizer  # noqa: F401
 from reviewloom.llm import packing
 
 

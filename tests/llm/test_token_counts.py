@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest_llm import prose
+from conftest_llm import path, prose, tokenizer  # noqa: F401
 from reviewloom.llm import token_counts as tc
 
 EOD = 49407
