@@ -5,8 +5,10 @@
    differ in elements, so that similar sets agree in at least one whole part. What a part
    holds is a candidate key. This loses no pair: a set also takes part in the next band
    if its size allows a partner there.
-2. Sets that share a key are tied to the smallest of them, first within a batch of texts,
-   then over all, so that no group is ever listed pair by pair. Tied sets are a cluster.
+2. In a group of sets that share a key, those are tied whose sizes and bitmaps allow the
+   overlap: a forest, so that no group is ever listed pair by pair. Where a key is so
+   common that its group is large, all of the group is tied to one of them, which loses
+   nothing either; a batch of texts does so ahead of the shuffle. Tied sets are a cluster.
 3. The members of a cluster meet as tiles of a bounded number of sets. In a tile, sets are
    ordered by size; a pair is passed over when sizes are too far apart, or when the bits
    that only one of two hashed bitmaps has leave too little overlap. The rest are
@@ -39,6 +41,9 @@ EMPTY = 2
 TILE, SHARED = 1000, 16
 #: 64-bit words of a bitmap.
 BITS = 16
+#: Sets with a key in common that are compared by bitmaps, over all and in one batch of
+#: texts; those of a larger group are tied without a look at them.
+GROUP, LOCAL = 2000, 32
 
 
 def bands(largest: int) -> np.ndarray:
@@ -106,6 +111,44 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(U64)
 
 
+def scaled_bitmap(values: np.ndarray) -> bytes:
+    """A bitmap with two bits or more for each element, a power of two of words."""
+    words = max(BITS, 1 << max(0, math.ceil(len(values) / 32) - 1).bit_length())
+    bits = np.zeros(words * 64, dtype=np.uint8)
+    bits[(values & U64(words * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(raw: list[bytes]) -> np.ndarray:
+    """Bitmaps of several lengths, each folded to the shortest one."""
+    words = min(map(len, raw)) // 8
+    return np.array([np.bitwise_or.reduce(np.frombuffer(m, dtype=U64).reshape(-1, words), axis=0) for m in raw])
+
+
+def likely_links(sizes: np.ndarray, maps: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest that joins all sets, in order of size, which may be similar by size and bitmap."""
+    root, links = np.arange(len(sizes)), []
+    for i in range(1, len(sizes)):
+        lo = int(np.searchsorted(sizes, -(-num * sizes[i] // den)))
+        j = np.arange(lo, i)
+        j = j[root[j] != root[i]]
+        if not len(j):
+            continue
+        for x in j[_able(sizes, maps, i, j, num, den)].tolist():
+            if root[x] != root[i]:
+                root[root == root[x]] = root[i]
+                links.append((x, i))
+    return links
+
+
+def _able(sizes: np.ndarray, maps: np.ndarray, i: int, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets ``j`` the bitmaps leave the overlap with set ``i`` that num/den needs."""
+    need = -(-num * (sizes[j] + sizes[i]) // (num + den))
+    only_j = np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64)
+    only_i = np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64)
+    return np.minimum(sizes[j] - only_j, sizes[i] - only_i) >= need
+
+
 def tile_links(sets: list[np.ndarray], num: int, den: int, against: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a forest that joins what is similar: index pairs.
 
@@ -126,14 +169,10 @@ def tile_links(sets: list[np.ndarray], num: int, den: int, against: np.ndarray |
             j = j[marked[j]]
         if not len(j):
             continue
-        # overlap needed for num/den, and what the bitmaps leave of it at most
-        need = -(-num * (sizes[j] + sizes[i]) // (num + den))
-        only_j = np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64)
-        only_i = np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64)
-        able = np.minimum(sizes[j] - only_j, sizes[i] - only_i) >= need
-        for x, enough in zip(j[able].tolist(), need[able].tolist()):
+        for x in j[_able(sizes, maps, i, j, num, den)].tolist():
             if root[x] == root[i]:
                 continue
+            enough = -(-num * (int(sizes[x]) + int(sizes[i])) // (num + den))
             a, b = sets[order[x]], sets[order[i]]
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
@@ -186,13 +225,16 @@ def classes(
     prepared(df.sparkSession)
     named = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
 
+    few, most = LOCAL, GROUP
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch: a row (k, n, sid) for each text, and rows (sid, candidate)."""
+        """Per batch: a row (k, n, sid) for each text, (n, sid, bits) for each set, and
+        (sid, candidate, whole) for its keys."""
         edges = bands(1000)
         for batch in batches:
             if not len(batch):
                 continue
-            known, texts = {}, []
+            known, texts, maps = {}, [], []
             for name, values in zip(batch["k"].tolist(), shingle_sets(batch["t"].tolist(), k)):
                 sid = set_id(values) if len(values) else None
                 texts.append((name, len(values), sid))
@@ -200,35 +242,51 @@ def classes(
                     if len(values) >= edges[-2]:
                         edges = bands(2 * len(values))
                     known[sid] = keys(values, num, den, edges)
-            # nullable integers from the start: a column with a null would become float
-            whole = lambda values: pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
-            out = pd.DataFrame({name: whole(column) for name, column in zip(["k", "n", "sid"], zip(*texts))})
-            out["candidate"] = pd.array([None] * len(out), dtype="Int64")
-            yield out
+                    maps.append((len(values), sid, scaled_bitmap(values)))
+            yield _columns(texts, ["k", "n", "sid"])
             if known:
-                sid = np.repeat(np.fromiter(known, dtype=np.int64), [len(v) for v in known.values()])
-                cand = np.concatenate(list(known.values()))
-                yield pd.DataFrame({"k": None, "n": None, "sid": sid, "candidate": cand}).astype("Int64").pipe(_local_stars)
-
-    rows = stored(named.mapInPandas(describe, "k long, n long, sid long, candidate long"), "sets")
-    texts = rows.where("candidate is null").select("k", "n", "sid")
+                yield _columns(maps, ["n", "sid", "bits"])
+                yield _local_groups(known, few)
+
+    shape = "k long, n long, sid long, bits binary, candidate long, whole boolean"
+    rows = stored(named.mapInPandas(describe, shape), "sets")
+    texts = rows.where("candidate is null and bits is null").select("k", "n", "sid")
+    maps = rows.where("bits is not null").select("sid", "n", "bits").dropDuplicates(["sid"])
+
+    keyed = rows.where("candidate is not null").select("candidate", "sid", "whole")
+    ordered = keyed.repartition("candidate").sortWithinPartitions("candidate", "sid")
+    met = stored(ordered.mapInPandas(lambda batches: _groups(batches, most), "shared long, a long, b long").distinct(), "met")
+    held = met.where("shared is not null").select("shared", F.col("a").alias("sid")).join(maps, "sid")
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Ties within each group, whose rows come one after another in order of size."""
+        last, sid, sizes, bits = None, [], [], []
+
+        def finish() -> list[tuple[int, int]]:
+            links = likely_links(np.array(sizes, dtype=np.int64), folded(bits), num, den)
+            links = [(sid[x], sid[y]) for x, y in links]
+            for held in (sid, sizes, bits):
+                held.clear()
+            return links
 
-    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ties every set of a run of equal candidates to the first of the run."""
-        last, hub = None, None
         for batch in batches:
-            cand, sid = batch["candidate"].to_numpy(), batch["sid"].to_numpy()
-            if not len(cand):
+            names, out = batch["shared"].to_numpy(), []
+            if not len(names):
                 continue
-            new = np.concatenate(([last is None or cand[0] != last], cand[1:] != cand[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(cand)), -1))
-            hubs = np.where(at >= 0, sid[np.maximum(at, 0)], hub if hub is not None else 0)
-            last, hub = cand[-1], hubs[-1]
-            tied = hubs != sid
-            yield pd.DataFrame({"a": hubs[tied], "b": sid[tied]}).drop_duplicates()
-
-    keyed = rows.where("candidate is not null").select("candidate", "sid")
-    ties = keyed.repartition("candidate").sortWithinPartitions("candidate", "sid").mapInPandas(stars, "a long, b long")
+            cuts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)])).tolist()
+            columns = [batch[c].tolist() for c in ("sid", "n", "bits")]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if sid and names[a] != last:
+                    out += finish()
+                last = names[a]
+                for held, values in zip((sid, sizes, bits), columns):
+                    held += values[a:b]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        if sid:
+            yield pd.DataFrame(finish(), columns=["a", "b"], dtype=np.int64)
+
+    together = held.repartition("shared").sortWithinPartitions("shared", "n", "sid")
+    ties = together.mapInPandas(likely, "a long, b long").union(met.where("shared is null").select("a", "b"))
     ties = stored(ties.distinct(), "ties")
     clusters = stored(components(ties).withColumnRenamed("node", "sid"), "clusters")
 
@@ -276,21 +334,92 @@ def classes(
     )
 
 
-def _local_stars(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sets of one batch that share candidates keep them once, and one key for the tie.
+def _columns(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows of ``describe`` with some of its columns, the others null."""
+    whole = lambda values: pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
+    given = dict(zip(names, zip(*rows)))
+    out = {name: whole(given.get(name, [None] * len(rows))) for name in ("k", "n", "sid")}
+    bits = pd.Series(given.get("bits", [None] * len(rows)), dtype=object)
+    return pd.DataFrame(out).assign(bits=bits, candidate=pd.array([None] * len(rows), dtype="Int64"), whole=None)
+
 
-    The first set of a shared candidate keeps it. Each other one is tied to that set by a
-    key of their own, so a group of copies leaves the batch as a few rows.
+def _local_groups(known: dict[int, np.ndarray], few: int) -> pd.DataFrame:
+    """The keys of the sets of a batch.
+
+    If more than ``few`` sets have a key, the first keeps it, as one whose group is
+    whole. Each other one is tied to that set by a key of their own, which is whole too,
+    so a group of copies leaves the batch as a few rows.
     """
-    cand, sid = rows["candidate"].to_numpy(np.int64), rows["sid"].to_numpy(np.int64)
+    sid = np.repeat(np.fromiter(known, dtype=np.int64), [len(v) for v in known.values()])
+    cand = np.concatenate(list(known.values()))
     order = np.lexsort((sid, cand))
     cand, sid = cand[order], sid[order]
-    new = np.concatenate(([True], cand[1:] != cand[:-1]))
-    hub = sid[np.maximum.accumulate(np.where(new, np.arange(len(cand)), 0))]
-    tied = np.unique(np.column_stack((hub, sid))[~new & (hub != sid)], axis=0)
+    new = np.concatenate(([True], (cand[1:] != cand[:-1]) | (sid[1:] != sid[:-1])))
+    cand, sid = cand[new], sid[new]
+    start = np.flatnonzero(np.concatenate(([True], cand[1:] != cand[:-1])))
+    count = np.diff(np.append(start, len(cand)))
+    large, hub = np.repeat(count > few, count), np.repeat(sid[start], count)
+    stays = ~large | (sid == hub)
+    tied = np.unique(np.column_stack((hub, sid))[~stays], axis=0)
     made = signed(mix(tied[:, 0].astype(U64) ^ U64(0x5DEECE66D1CE4E5B)))
     out = pd.DataFrame(
-        {"sid": np.concatenate((sid[new], tied[:, 0], tied[:, 1])), "candidate": np.concatenate((cand[new], made, made))}
+        {
+            "sid": np.concatenate((sid[stays], tied[:, 0], tied[:, 1])),
+            "candidate": np.concatenate((cand[stays], made, made)),
+            "whole": np.concatenate((large[stays], np.ones(2 * len(tied), dtype=bool))),
+        }
     ).drop_duplicates()
-    out["k"], out["n"] = pd.array([None] * len(out), dtype="Int64"), pd.array([None] * len(out), dtype="Int64")
-    return out[["k", "n", "sid", "candidate"]]
+    none = pd.array([None] * len(out), dtype="Int64")
+    return out.assign(k=none, n=none, bits=None)[["k", "n", "sid", "bits", "candidate", "whole"]]
+
+
+def _groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Rows in order of candidate and set -> groups of several sets, and ties.
+
+    A group is named by its members, so that sets with many keys in common meet once:
+    rows (shared, a). Of a group that is whole or has more than ``most`` sets, each is
+    tied to the first: rows (null, a, b). A run that a batch cuts off waits for the next
+    one, or, once it is that large, leaves its first set there.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    cand, sid, whole = none, none, np.zeros(0, dtype=bool)
+
+    def cut(cand, sid, whole):
+        new = np.concatenate(([True], (cand[1:] != cand[:-1]) | (sid[1:] != sid[:-1])))
+        start = np.flatnonzero(np.concatenate(([True], cand[1:] != cand[:-1])))
+        marked = np.logical_or.reduceat(whole, start)
+        marked = np.repeat(marked, np.diff(np.append(start, len(cand))))
+        cand, sid, whole = cand[new], sid[new], marked[new]
+        start = np.flatnonzero(np.concatenate(([True], cand[1:] != cand[:-1])))
+        return cand, sid, whole, start, np.diff(np.append(start, len(cand)))
+
+    def made(cand, sid, whole) -> pd.DataFrame:
+        cand, sid, whole, start, count = cut(cand, sid, whole)
+        named = np.add.reduceat(mix(sid.astype(U64)), start) ^ mix(count.astype(U64))
+        several = np.repeat(count > 1, count)
+        tied = several & (whole | np.repeat(count > most, count))
+        met, hub = several & ~tied, np.repeat(sid[start], count)
+        tied &= hub != sid
+        shared = pd.array(np.repeat(signed(mix(named)), count)[met], dtype="Int64")
+        groups = pd.DataFrame({"shared": shared, "a": sid[met], "b": pd.array([None] * len(shared), dtype="Int64")})
+        ties = pd.DataFrame({"shared": pd.array([None] * int(tied.sum()), dtype="Int64"), "a": hub[tied], "b": sid[tied]})
+        return pd.concat([groups, ties.astype("Int64")], ignore_index=True).astype("Int64").drop_duplicates()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        cand = np.concatenate((cand, batch["candidate"].to_numpy(np.int64)))
+        sid = np.concatenate((sid, batch["sid"].to_numpy(np.int64)))
+        whole = np.concatenate((whole, batch["whole"].to_numpy(bool)))
+        end = int(np.searchsorted(cand, cand[-1]))
+        if end:
+            yield made(cand[:end], sid[:end], whole[:end])
+            cand, sid, whole = cand[end:], sid[end:], whole[end:]
+        if len(cand) > most:
+            cand, sid, whole, _, _ = cut(cand, sid, whole)
+            if len(cand) > most:
+                whole[:] = True
+                yield made(cand, sid, whole)
+                cand, sid, whole = cand[:1], sid[:1], whole[:1]
+    if len(cand):
+        yield made(cand, sid, whole)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from reviewloom.llm import jaccard
@@ -43,11 +45,12 @@ def corpus(seed):
     return texts + [None, "", " \t", "É a", "é a", texts[0]]
 
 
-@pytest.mark.parametrize("seed,k,num,den,tile", [(1, 3, 9, 10, None), (2, 5, 8, 10, 4)])
-def test_against_brute_force(spark, monkeypatch, seed, k, num, den, tile):
-    if tile:
-        monkeypatch.setattr(jaccard, "TILE", tile)
-        monkeypatch.setattr(jaccard, "SHARED", 2)
+@pytest.mark.parametrize(
+    "seed,k,num,den,small", [(1, 3, 9, 10, {}), (2, 5, 8, 10, {"TILE": 4, "SHARED": 2}), (3, 5, 8, 10, {"GROUP": 2, "LOCAL": 2})]
+)
+def test_against_brute_force(spark, monkeypatch, seed, k, num, den, small):
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, sid string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df.repartition(3), k, num, den).collect()}
@@ -56,3 +59,34 @@ def test_against_brute_force(spark, monkeypatch, seed, k, num, den, tile):
 
 def test_empty(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_across_batches():
+    """Runs of a key that batches cut off: groups up to a size, then ties to the first set."""
+    rows = [(1, 5), (1, 6), (2, 7), *[(3, i) for i in range(1, 10)], (4, 5), (4, 6), (5, 1)]
+    for size in (1, 2, 3, 20):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        frames = [pd.DataFrame(p, columns=["candidate", "sid"]).assign(whole=False) for p in parts]
+        out = pd.concat(jaccard._groups(iter(frames), 4)).drop_duplicates()
+        groups = out[out["shared"].notna()].groupby("shared")["a"].apply(sorted).tolist()
+        ties = out[out["shared"].isna()][["a", "b"]].astype(int).values.tolist()
+        assert groups == [[5, 6]]
+        assert sorted(ties) == [[1, i] for i in range(2, 10)]
+
+
+def test_bitmaps_lose_no_pair():
+    """What is similar stays tied by bitmaps of any length, folded or not."""
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 511, 513, 1100, 5000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate((base[: len(base) - n // 10], rng.integers(0, 2**63, n // 11, dtype=np.uint64))))
+        far = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        sets = sorted((base, other, far), key=len)
+        sizes, maps = np.array([len(x) for x in sets]), jaccard.folded([jaccard.scaled_bitmap(x) for x in sets])
+        links = jaccard.likely_links(sizes, maps, 8, 10)
+        same = np.intersect1d(base, other).size
+        if 10 * same >= 8 * (len(base) + len(other) - same):
+            i, j = (next(k for k, x in enumerate(sets) if x is y) for y in (base, other))
+            assert tuple(sorted((i, j))) in links
+        if n > 1:
+            assert len(links) == 1
