@@ -9,9 +9,9 @@ reach, so they are split by prefixes that the text itself chooses:
    mostly share one, so a block of windows is one row: (prefix, whole block, place).
 2. A prefix that occurs once holds no repeat and ends here. So does one whose blocks are
    all the same: they are repeats throughout.
-3. The suffixes of other prefixes go with their words to the group of that prefix. A
-   prefix with more than ``FULL`` blocks is made longer, to the whole window, so that no
-   group outgrows memory; equal blocks are counted before they meet.
+3. Equal blocks of other prefixes are repeats throughout too. One of each goes with its
+   words to the group of its prefix. A prefix with more than ``FULL`` blocks is made
+   longer, to the whole window, so that no group outgrows memory.
 4. Tasks sort the suffixes of their groups by words, which with the lengths of common
    prefixes is the suffix tree. Inner nodes at least ``size`` words deep are the maximal
    repeats; every suffix below one is marked.
@@ -192,14 +192,23 @@ def covered(df: DataFrame, size: int) -> DataFrame:
         "id", "same", F.struct("start", "n", "prefix", "body", "many").alias("spot")
     )
     met = stored(met, "met")
-    spots = met.where("not same").groupBy("id").agg(F.collect_list("spot").alias("spots"))
+    # equal blocks are repeats throughout; the first of them stands for all where blocks meet
+    differ = met.where("not same").select("id", "spot.*")
+    bodies = differ.groupBy("prefix", "body").agg(F.count("*").alias("equal"), F.min(F.struct("id", "start")).alias("one"))
+    differ = differ.join(bodies, ["prefix", "body"]).withColumn("first", F.expr("one.id = id and one.start = start"))
+    differ = stored(differ.select("id", "start", "n", "prefix", "body", "many", "equal", "first"), "differ")
+    spots = differ.where("first").groupBy("id").agg(
+        F.collect_list(F.struct("start", "n", "prefix", "body", "many")).alias("spots")
+    )
     segments = stored(_segments(df.join(spots, "id"), size), "segments")
     distinct = segments.groupBy("grp", "body").agg(
         F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words")
     )
     masks = stored(_trees(distinct, size).where("mask <> 0"), "marks")
     found = segments.select("grp", "body", "id", "start").join(masks, ["grp", "body"])
-    spans = met.where("same").select("id", "spot.start", F.expr("shiftleft(1L, spot.n) - 1").alias("mask"))
+    settled = met.where("same").select("id", "spot.start", "spot.n")
+    settled = settled.union(differ.where("equal > 1").select("id", "start", "n"))
+    spans = settled.select("id", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     spans = spans.union(found.select("id", "start", "mask"))
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
