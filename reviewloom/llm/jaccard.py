@@ -373,6 +373,18 @@ def _local_groups(known: dict[int, np.ndarray], few: int) -> pd.DataFrame:
     return out.assign(k=none, n=none, bits=None)[["k", "n", "sid", "bits", "candidate", "whole"]]
 
 
+def _larger(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Batches of narrow rows, put together to some ``rows`` each."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def _groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Rows in order of candidate and set -> groups of several sets, and ties.
 
@@ -405,9 +417,7 @@ def _groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame
         ties = pd.DataFrame({"shared": pd.array([None] * int(tied.sum()), dtype="Int64"), "a": hub[tied], "b": sid[tied]})
         return pd.concat([groups, ties.astype("Int64")], ignore_index=True).astype("Int64").drop_duplicates()
 
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in _larger(batches):
         cand = np.concatenate((cand, batch["candidate"].to_numpy(np.int64)))
         sid = np.concatenate((sid, batch["sid"].to_numpy(np.int64)))
         whole = np.concatenate((whole, batch["whole"].to_numpy(bool)))
