@@ -181,23 +181,18 @@ def covered(df: DataFrame, size: int) -> DataFrame:
     if not 2 <= size <= 64:
         raise ValueError("a window has 2 to 64 words")
     anchors = stored(_anchors(df, size), "anchors")
-    prefixes = anchors.groupBy("prefix").agg(
-        F.count("*").alias("many"), F.min("body").alias("low"), F.max("body").alias("high")
-    )
+    # equal blocks are repeats throughout; the first of them stands for all where blocks meet
+    bodies = anchors.groupBy("prefix", "body").agg(F.count("*").alias("equal"), F.min(F.struct("id", "start")).alias("one"))
+    bodies = stored(bodies, "bodies")
+    prefixes = bodies.groupBy("prefix").agg(F.sum("equal").alias("many"), F.count("*").alias("bodies"))
     prefixes = prefixes.where("many > 1").select(
-        "prefix", (F.col("low") == F.col("high")).alias("same"), (F.col("many") > FULL).alias("many")
+        "prefix", (F.col("bodies") == 1).alias("same"), (F.col("many") > FULL).alias("many")
     )
-    prefixes = stored(prefixes, "prefixes")
-    met = anchors.join(prefixes, "prefix").select(
-        "id", "same", F.struct("start", "n", "prefix", "body", "many").alias("spot")
+    met = anchors.join(bodies.join(prefixes, "prefix"), ["prefix", "body"]).withColumn(
+        "first", F.expr("not same and one.id = id and one.start = start")
     )
-    met = stored(met, "met")
-    # equal blocks are repeats throughout; the first of them stands for all where blocks meet
-    differ = met.where("not same").select("id", "spot.*")
-    bodies = differ.groupBy("prefix", "body").agg(F.count("*").alias("equal"), F.min(F.struct("id", "start")).alias("one"))
-    differ = differ.join(bodies, ["prefix", "body"]).withColumn("first", F.expr("one.id = id and one.start = start"))
-    differ = stored(differ.select("id", "start", "n", "prefix", "body", "many", "equal", "first"), "differ")
-    spots = differ.where("first").groupBy("id").agg(
+    met = stored(met.select("id", "start", "n", "prefix", "body", "many", "equal", "first"), "met")
+    spots = met.where("first").groupBy("id").agg(
         F.collect_list(F.struct("start", "n", "prefix", "body", "many")).alias("spots")
     )
     segments = stored(_segments(df.join(spots, "id"), size), "segments")
@@ -206,8 +201,7 @@ def covered(df: DataFrame, size: int) -> DataFrame:
     )
     masks = stored(_trees(distinct, size).where("mask <> 0"), "marks")
     found = segments.select("grp", "body", "id", "start").join(masks, ["grp", "body"])
-    settled = met.where("same").select("id", "spot.start", "spot.n")
-    settled = settled.union(differ.where("equal > 1").select("id", "start", "n"))
+    settled = met.where("equal > 1")
     spans = settled.select("id", "start", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     spans = spans.union(found.select("id", "start", "mask"))
     return spans.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
