@@ -32,14 +32,17 @@ def clean_reviews(t):
     ctes("raw") + "select title, rating, date, category, comments as comment, nullif(useful, '') as useful from raw",
 )
 def csv_scan(t):
-    """Writes the reviews as Latin-1 CSV files under their original headers, reads them."""
+    """Writes the reviews as CSV files under their original headers, and reads them.
+
+    In UTF-8: texts may hold characters that Latin-1 has no place for.
+    """
     path = f"{shared_folder(t.spark)}/reviews-{uuid4().hex}"
     columns = ["title", "customer_name", "rating", "date", "category", "comments", "useful"]
     named = t.raw().repartition("review_id").select(*columns).toDF(*RAW_REVIEWS.names)
     named.write.options(
-        header=True, encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True, encoding="UTF-8", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
-    return clean.canonical_names(clean.drop_personal(read_reviews(t.spark, path)))
+    return clean.canonical_names(clean.drop_personal(read_reviews(t.spark, path, encoding="UTF-8")))
 
 
 @query("dedup_rows", ctes("raw") + "select distinct * from raw")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def histogram_quantiles(value: Column, probabilities: list[float], weight: Colum
 
 def _splits(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
     """Bucket bounds near the quantiles of each column: at most ``buckets`` numbers
-    per column come to the driver. They only balance the work; any bounds are right.
+    per column come to the driver. They only balance the work; any bounds are right,
+    but infinities, which are the outer ones already.
     """
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     row = df.agg(
@@ -26,7 +29,7 @@ def _splits(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]
     ).first()
     bounds = []
     for column in columns:
-        inner = sorted(set(row[column] or [0.0]))
+        inner = sorted({b for b in row[column] or [] if isfinite(b)}) or [0.0]
         bounds.append([float("-inf"), *inner, float("inf")])
     return bounds
 
@@ -39,15 +42,18 @@ def exact_quantiles(
     ``percentile`` keeps every distinct value of a column in one task. Here bucket
     totals (``buckets`` per column) tell in which bucket each wanted rank lies, and
     only the values of those buckets are shuffled, counted and put in order, each
-    bucket in its own task.
+    bucket in its own task. NaN counts as missing. Infinities are values like others; a
+    quantile between two different infinite ranks is NaN, as their interpolation is.
     """
+    # Names of our own: those of the columns may hold dots.
+    plain = [f"c{i}" for i in range(len(columns))]
     numbers = df.select(
-        *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in columns]
+        *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(p) for c, p in zip(columns, plain)]
     )
     bucketed = Bucketizer(
-        splitsArray=_splits(numbers, columns, buckets),
-        inputCols=columns,
-        outputCols=[f"{c}__bucket" for c in columns],
+        splitsArray=_splits(numbers, plain, buckets),
+        inputCols=plain,
+        outputCols=[f"{p}__bucket" for p in plain],
         handleInvalid="keep",
     ).transform(numbers)
     tall = bucketed.select(
@@ -56,10 +62,10 @@ def exact_quantiles(
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        F.col(f"{c}__bucket").cast("int").alias("bucket"),
-                        F.col(c).alias("value"),
+                        F.col(f"{p}__bucket").cast("int").alias("bucket"),
+                        F.col(p).alias("value"),
                     )
-                    for c in columns
+                    for c, p in zip(columns, plain)
                 ]
             )
         ).alias("cell")
@@ -108,6 +114,8 @@ def exact_quantiles(
         .select(
             "column",
             "probability",
-            (F.col("low") + (F.col("high") - F.col("low")) * fraction).alias("quantile"),
+            F.when(F.col("low") == F.col("high"), F.col("low"))
+            .otherwise(F.col("low") + (F.col("high") - F.col("low")) * fraction)
+            .alias("quantile"),
         )
     )

@@ -13,21 +13,24 @@ from .clean import require_columns
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, count), most frequent first, nulls left out."""
     require_columns(df, column)
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(tally().alias("count"))
-    return counts.orderBy(F.desc("count"), column)
+    name = f"`{column}`"
+    counts = df.where(F.col(name).isNotNull()).groupBy(name).agg(tally().alias("count"))
+    return counts.orderBy(F.desc("count"), name)
 
 
 def value_percent(df: DataFrame, column: str) -> DataFrame:
     """(value, percent) of the rows that have a value.
 
-    The total is a scalar subquery: one number, no join and no one-task window.
+    The total is a scalar subquery over the counts, whose shuffle it shares: one scan, no
+    join and no one-task window.
     """
     require_columns(df, column)
-    present = df.where(F.col(column).isNotNull())
-    total = present.agg(F.count(F.lit(1))).scalar()
-    counts = present.groupBy(column).agg(tally().alias("count"))
+    name = f"`{column}`"
+    present = df.where(F.col(name).isNotNull())
+    counts = present.groupBy(name).agg(tally().alias("count"))
+    total = counts.agg(F.sum("count")).scalar()
     percent = (F.lit(100.0) * F.col("count") / total).alias("percent")
-    return counts.select(column, percent).orderBy(F.desc("percent"), column)
+    return counts.select(name, percent).orderBy(F.desc("percent"), name)
 
 
 def explode_items(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:

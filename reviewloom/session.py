@@ -29,10 +29,11 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
     Give the size of the input for a large one: 100 TB are then read in some 190,000
     splits and start with some 93,000 shuffle partitions, not with the default 200.
+    Spark makes splits smaller where the input has too few of them for all cores.
     """
     settings = dict(SETTINGS)
-    if input_bytes is not None and input_bytes > FEW_PARTITIONS * PARTITION_BYTES:
-        partitions = -(-input_bytes // PARTITION_BYTES)
+    if input_bytes is not None:
+        partitions = max(FEW_PARTITIONS, -(-input_bytes // PARTITION_BYTES))
         settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(partitions)
         settings["spark.sql.files.maxPartitionBytes"] = str(SPLIT_BYTES)
     for key, value in settings.items():

@@ -46,22 +46,36 @@ def read_reviews(
     path: str | list[str],
     schema: StructType | None = RAW_REVIEWS,
     multi_line: bool = True,
+    encoding: str = "ISO-8859-1",
+    line_end: str | None = None,
 ) -> DataFrame:
-    """Latin-1 CSV with a header, quoted newlines and doubled quotes.
+    """CSV, Latin-1 by default, with a header, quoted newlines and doubled quotes.
 
     The header of every file is checked against the schema. With ``schema=None``
     the columns are those of the header, all text. A file with quoted newlines
     cannot be split, so it is one task: give many files, or ``multi_line=False``
     when no comment holds a newline. A missing path raises when the plan is built.
+
+    A row with more fields than the header fails the job, also where only some columns
+    are read or rows are counted; missing fields at the end of a row are null. Line
+    ends are those of the first header, or ``line_end``, and must be the same in all
+    files, or else the check of the header raises. Line ends inside quotes stay as
+    they are.
     """
+    if line_end is None:
+        first = spark.read.text(path, lineSep="\n").first()
+        line_end = "\r\n" if first is not None and first[0].endswith("\r") else "\n"
     reader = spark.read.options(
         header=True,
-        encoding="ISO-8859-1",
+        encoding=encoding,
+        lineSep=line_end,
         multiLine=multi_line,
         quote='"',
         escape='"',
         inferSchema=False,
     )
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
+    schema = schema or reader.csv(path).schema
+    reader = reader.schema(schema).options(enforceSchema=False)
+    # All fields of a row are looked at, so that a surplus one is found in any query.
+    reader = reader.options(maxColumns=len(schema), columnPruning=False)
     return null_tokens(reader.csv(path))

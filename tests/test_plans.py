@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, queries
 from conftest import SMALL
-from reviewloom.operators import inference, profile, sentiment, topics, words
+from reviewloom.operators import inference, profile, ranking, sentiment, topics, words
 from reviewloom.operators.clean import clean_reviews
+from reviewloom.sources.response_cache import append_responses, read_responses
 
 #: Queries that run jobs of their own while they are built.
 EAGER = {"cache_first", "csv_scan", "full_analysis", "describe_numbers"}
@@ -61,7 +62,7 @@ def test_first_appearance_needs_no_sort(tables):
     assert "SortAggregate" not in text and "HashAggregate" in text
 
 
-def test_hot_prompt_is_split_in_the_lookup(spark):
+def test_hot_prompt_is_split_in_the_lookup(spark, tmp_path):
     """Two thirds of the rows share a prompt; the limits are scaled down to the data."""
     limits = {
         "spark.sql.shuffle.partitions": "64",
@@ -78,7 +79,11 @@ def test_hot_prompt_is_split_in_the_lookup(spark):
             "id as review_id", "if(id % 3 < 2, 'same', concat('text ', id)) as prompt"
         )
         keyed = inference.with_prompt_key(rows, "m")
-        cache = keyed.where("review_id % 5 = 0").selectExpr("prompt_hash", "'a' as content").distinct()
+        answer = ["'a' as content", "'m' as model", "'p' as provider", "5 as tokens_used"]
+        answer += ["0.5D as response_time", "cast(null as double) as cost"]
+        answers = keyed.where("review_id % 5 = 0").selectExpr("prompt_hash", *answer)
+        append_responses(answers, str(tmp_path / "store"))
+        cache = read_responses(spark, str(tmp_path / "store"))
         found = inference.cache_lookup(keyed, cache, ("review_id",))
         assert "skew=true" in final_plan(found)
         # The hot prompt is answered for all its rows, and so is every fifth of the rest.
@@ -106,6 +111,11 @@ def test_boxes_and_points_share_one_count(tables):
     assert "ReusedExchange" in final_plan(profile.boxplot_stats(df))
 
 
+def test_percentages_scan_once(tables):
+    shares = ranking.value_percent(tables.read("orders"), "o_orderstatus")
+    assert "ReusedExchange" in final_plan(shares)
+
+
 def test_summary_scans_once(tables):
     text = plan(profile.data_summary(tables.read("documents").withColumnRenamed("text", "comment")))
     assert text.count("FileScan") == 1

@@ -190,3 +190,12 @@ def test_stats_bundle(published):
     assert {m for m, _ in lines} == {
         "count", "avg_length", "median_length", "rating_distribution", "word_frequency", "total_unique_words",
     }
+
+
+def test_describe_infinities_dots_and_nothing(spark):
+    inf = float("inf")
+    rows = [(v, None) for v in (-inf, 1.0, 2.0, 3.0, 4.0, inf, inf, inf)]
+    df = spark.createDataFrame(rows, "`a.b` double, none double")
+    got = {r.column: r for r in profile.describe(df).collect()}
+    assert (got["a.b"].q25, got["a.b"].median, got["a.b"].q75) == (1.75, 3.5, inf)
+    assert got["none"].asDict() | {"column": "", "count": 0} == dict.fromkeys(got["none"].asDict()) | {"column": "", "count": 0}

@@ -27,6 +27,39 @@ def test_csv(spark, tmp_path):
     assert row["Comments"] == 'He said "hi"\nand left'
 
 
+def test_csv_surplus_fields_raise(spark, tmp_path):
+    path = _file(tmp_path, HEADER + "a,b,c,d,e,f,g\na,b,c,d,e,f,g,DROPPED\n")
+    for multi_line in (True, False):
+        df = read_reviews(spark, path, multi_line=multi_line)
+        for job in (df.collect, df.count, df.select("Rating").collect):
+            with pytest.raises(Exception, match="FAILED_READ_FILE"):
+                job()
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        read_reviews(spark, path, schema=None).count()
+
+
+def test_csv_short_row_is_filled_with_nulls(spark, tmp_path):
+    df = read_reviews(spark, _file(tmp_path, HEADER + "a,b,c\n"))
+    assert df.count() == 1 and list(df.first()) == ["a", "b", "c", None, None, None, None]
+
+
+def test_csv_line_ends_in_quotes_stay(spark, tmp_path):
+    for end in ("\n", "\r\n"):
+        body = f'a,b,c,d,e,"one\r\ntwo\nthree",g{end}a,b,c,d,e,f,{end}'
+        path = _file(tmp_path, HEADER.replace("\n", end) + body, f"{len(end)}.csv")
+        rows = read_reviews(spark, path).collect()
+        assert [r["Comments"] for r in rows] == ["one\r\ntwo\nthree", "f"]
+        assert [r["Useful"] for r in rows] == ["g", None]
+        with pytest.raises(Exception):
+            read_reviews(spark, path, line_end="\r\n" if end == "\n" else "\n").collect()
+
+
+def test_csv_other_encoding(spark, tmp_path):
+    path = tmp_path / "euro.csv"
+    path.write_bytes((HEADER + "a,b,c,d,e,5 \u20ac,g\n").encode("utf-8"))
+    assert read_reviews(spark, str(path), encoding="UTF-8").first()["Comments"] == "5 \u20ac"
+
+
 def test_csv_header_must_match_the_schema(spark, tmp_path):
     path = _file(tmp_path, "Rating,Review Title,Customer name,Date,Category,Comments,Useful\na,b,c,d,e,f,g\n")
     with pytest.raises(Exception, match="(?i)header"):
