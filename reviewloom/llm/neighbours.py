@@ -30,6 +30,8 @@ WAYS, BEAM, EXPANDED, HOPS = 24, 320, 40, 9
 TILE = 1000
 #: Levels of a tree that have a threshold for each node.
 DEEP = 12
+#: Vectors of an audit at least; from its square on it has as many as the root of the table's rows.
+AUDITED = 64
 
 
 def vectors(df: DataFrame, key: str, vector: str, unit: bool) -> DataFrame:
@@ -354,17 +356,20 @@ def search(
 
 
 def near_duplicates(
-    df: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", audits: int = 3
+    df: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", audits: int = 30
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept): links of cosine ``least`` or more.
 
     Edges of the neighbour graph at or above the threshold, checked in double precision,
-    join vectors to components. Lists that are full of links may hide others, so in each
-    further round the vectors of new trees' leaves are compared outside their component.
+    join vectors to components. A list that is full of links may hide others. Those within
+    its component are counted in the end anyway; those that leave it, and lead to another
+    full list, are looked for exactly (``_between``), which is what lists grown until none
+    is full would show. In each further round the vectors of new trees' leaves are compared
+    outside their component.
     Then every component is compared with itself exactly, in tiles, and only counts of
-    links leave a tile. A sample of vectors is held against all vectors to audit recall;
-    rounds go on until nothing new turns up and the audit finds every link, or for
-    ``audits`` rounds. Vectors that take no part have no links and are kept. Null keys
+    links leave a tile. A sample of vectors, larger for larger tables, is held against all
+    vectors to audit recall; rounds go on until neither finds a new link, and more than
+    ``audits`` of them are an error. Vectors that take no part have no links and are kept. Null keys
     get rows with a null ``component_id``; repeated keys are vectors of their own.
     """
     prepared(df.sparkSession)
@@ -374,6 +379,9 @@ def near_duplicates(
     pairs = graph.select("a", F.explode("near").alias("e")).where(F.col("e.d") <= rough).select("a", F.col("e.b").alias("b"))
     links = stored(_verified(pairs, table, least), "links")
     loops = table.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    full = graph.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["d"] <= rough)).select(F.col("a").alias("id"))
+    if full.limit(1).count():
+        links = stored(links.union(_between(full, table, components(links.union(loops)), least)), "links")
     for seed in range(1, audits + 1):
         groups = stored(components(links.union(loops)), "groups")
         count = table.count()
@@ -382,12 +390,14 @@ def near_duplicates(
             break
         trees = fit_trees(decode(sample["code"]), count, TREES, LEAF, 100 + seed)
         marked = table.select("id", "code").join(groups.select(F.col("node").alias("id"), "component"), "id")
-        apart = _by_group(_leaves(marked, trees, ("component",)), "leaf", _apart(rough), "a long, b long", 2 * LEAF)
+        apart = _by_group(_leaves(marked, trees, ("component",)), "leaf", _apart(rough, 2 - 2 * (least + 0.03)), "a long, b long", 2 * LEAF)
         more = stored(_verified(apart, table, least), "links")
-        audited = _missed(table, sample.iloc[:64], groups, least)
+        audited = stored(_missed(table, max(AUDITED, math.isqrt(count)), seed, groups, least), "audited")
         links = stored(links.union(more).union(audited), "links")
         if not more.limit(1).count() and not audited.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"links between components still turned up after {audits} rounds")
     groups = stored(components(links.union(loops)), "groups")
     counts = _count_links(table, groups, least)
     names = table.select("id", "key").join(groups.select(F.col("node").alias("id"), "component"), "id")
@@ -410,20 +420,91 @@ def near_duplicates(
     )
 
 
-def _apart(rough: float):
-    """Pairs of a leaf that are near but of different components; one for each such node."""
+def _apart(rough: float, certain: float):
+    """Pairs of a leaf that are near but of different components.
+
+    For each node and other component the nearest one if it is a link for certain, else
+    all that may be one.
+    """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         x, ids, part = decode(frame["code"]), frame["id"].to_numpy(), frame["component"].to_numpy()
         d = squares(x, x)
-        d[part[:, None] == part[None, :]] = np.inf
-        best = d.argmin(axis=1)
-        ok = d[np.arange(len(ids)), best] <= rough
-        return pd.DataFrame({"a": ids[ok], "b": ids[best[ok]]}).astype("int64")
+        i, j = np.nonzero((d <= rough) & (part[:, None] != part[None, :]))
+        order = np.lexsort((d[i, j], part[j], i))
+        i, j = i[order], j[order]
+        first = np.ones(len(i), dtype=bool)
+        first[1:] = (i[1:] != i[:-1]) | (part[j[1:]] != part[j[:-1]])
+        nearest = d[i, j][first][np.cumsum(first) - 1]
+        ok = first | (nearest > certain)
+        return pd.DataFrame({"a": ids[i[ok]], "b": ids[j[ok]]}).astype("int64")
 
     return work
 
 
+def _between(full: DataFrame, table: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the vectors ``full`` of different components, one at least for each pair of balls with any.
+
+    Vectors of a component are covered by balls of half the angle of a link around some of
+    them. Only balls whose centres are no farther apart than a link and both radii can have
+    a link, so the balls are compared in tiles, and then the vectors of those that are left.
+    """
+    reach = math.acos(min(1.0, max(-1.0, least)))
+    groups = groups.select(F.col("node").alias("id"), "component")
+    rows = stored(full.join(groups, "id").join(table.select("id", "v"), "id"), "full")
+    sizes = stored(rows.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("long").alias("shares")), "sizes")
+    rows = rows.join(sizes, "component").select(
+        F.xxhash64("component", F.expr("pmod(xxhash64(id), shares)")).alias("tile"), "id", "component", "v"
+    )
+
+    def angles(x, y):
+        return np.arccos(np.clip(x @ y.T, -1, 1))
+
+    def cover(frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids = doubles(frame["v"]), frame["id"].to_numpy()
+        ball, radius, left = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.arange(len(ids))
+        while len(left):
+            far = angles(x[left], x[left[:1]])[:, 0]
+            far[0] = 0
+            near = far <= reach / 2
+            ball[left[near]], radius[left[near]] = ids[left[0]], far[near].max()
+            left = left[~near]
+        return frame[["id", "component", "v"]].assign(ball=ball, radius=radius)
+
+    covered = _by_group(rows, "tile", cover, "id long, component long, v binary, ball long, radius double", 1 << 62)
+    covered = stored(covered, "balls")
+    balls = covered.where("id = ball").drop("ball")
+    shares = max(1, math.ceil(balls.count() / TILE))
+    balls = balls.withColumn("share", F.expr(f"pmod(xxhash64(id), {shares}L)")).withColumn(
+        "other", F.explode(F.expr(f"sequence(0L, {shares - 1}L)"))
+    )
+    tile = F.xxhash64(F.least("share", "other"), F.greatest("share", "other"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids, share = doubles(frame["v"]), frame["id"].to_numpy(), frame["share"].to_numpy()
+        part, radius, one = frame["component"].to_numpy(), frame["radius"].to_numpy(), share == share.min()
+        other = one if one.all() else ~one
+        # radii and angles are rounded, least of all small ones
+        near = angles(x[one], x[other]) <= reach + radius[one][:, None] + radius[other][None, :] + 1e-6
+        i, j = np.nonzero(near & (part[one][:, None] != part[other][None, :]))
+        return pd.DataFrame({"p": ids[one][i], "q": ids[other][j]})
+
+    met = _by_group(balls.select(tile.alias("tile"), "id", "component", "v", "radius", "share"), "tile", meet, "p long, q long", 1 << 62)
+    met = stored(met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "met")
+    sides = met.select(F.xxhash64("p", "q").alias("pair"), F.explode(F.array("p", "q")).alias("ball"))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        x, ids, ball = doubles(frame["v"]), frame["id"].to_numpy(), frame["ball"].to_numpy()
+        one = ball == ball[0]
+        found = x[one] @ x[~one].T
+        i, j = np.unravel_index(found.argmax(), found.shape)
+        ok = found[i, j] >= least
+        return pd.DataFrame({"a": ids[one][i : i + ok], "b": ids[~one][j : j + ok]})
+
+    rows = sides.join(covered.select("ball", "id", "v"), "ball").select("pair", "ball", "id", "v")
+    return _by_group(rows, "pair", best, "a long, b long", 1 << 62)
+
+
 def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose cosine in double precision reaches the threshold."""
 
@@ -439,10 +520,9 @@ def _verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     return met.mapInPandas(work, "a long, b long")
 
 
-def _missed(table: DataFrame, sample: pd.DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """Audit: links of the sampled vectors (64 at most) that leave their component."""
-    ids = sample["id"].tolist()
-    rows = table.where(F.col("id").isin(ids)).select("id", "v").toPandas()
+def _missed(table: DataFrame, count: int, seed: int, groups: DataFrame, least: float) -> DataFrame:
+    """Audit: links of ``count`` vectors, by a hash, that leave their component."""
+    rows = table.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count).select("id", "v").toPandas()
     asked, x = rows["id"].to_numpy(), doubles(rows["v"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

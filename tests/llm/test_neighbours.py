@@ -33,3 +33,23 @@ def test_small_and_empty(spark):
     assert [(r.rank, r.vec_id) for r in out] == [(1, 1), (2, 1)]
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
     assert neighbours.search(df.limit(0), "key = 2").count() == 0
+
+
+def test_links_between_full_lists(spark, monkeypatch):
+    for name, value in {"LEAF": 16, "TREES": 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    # neither lucky leaves nor the audit make up for lists that are full
+    monkeypatch.setattr(neighbours, "_missed", lambda table, *_: table.selectExpr("id as a", "id as b").limit(0))
+    monkeypatch.setattr(neighbours, "_apart", lambda *_: lambda frame: frame.iloc[:0].assign(a=frame["id"], b=frame["id"])[["a", "b"]])
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for g in range(8):  # two groups of near copies each, with a cosine of 0.93 between them
+        one, way = x[80 * g], x[80 * g + 79]
+        way = way - (way @ one) * one
+        two = 0.93 * one + np.sqrt(1 - 0.93**2) * way / np.linalg.norm(way)
+        x[80 * g : 80 * g + 40] = one + 0.001 * rng.normal(size=(40, 24))
+        x[80 * g + 40 : 80 * g + 80] = two + 0.001 * rng.normal(size=(40, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert all(got[i] == (79, 80 * (i // 80)) for i in range(640))
