@@ -3,15 +3,17 @@
 Text is gathered per path of tags from the root to the text. Each path has a text ratio
 (characters per text node) and a punctuation ratio (marks per text node). Both are
 smoothed over neighbouring nodes of the page, multiplied, and held against a threshold
-from their spread. The paths above it say which container holds the article; its other
-blocks (headings, short lines) then belong to it too, but for those of a kind that is
-never part of an article.
+from their spread. The lowest container of all paths that reach it holds the article; its
+other blocks (headings, short lines) then belong to it too, but for those of a kind that
+is never part of an article. A page that names its article has it settled: all blocks of
+<article> and <main> belong to it, but for those of such a kind.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import os
 import re
 from collections.abc import Iterator
 
@@ -44,6 +46,10 @@ OUTSIDE_WORDS = frozenset(
 )
 #: Elements that name the article.
 ARTICLE = frozenset(["article", "main"])
+#: Elements that are parts of an article, so its other parts stand beside them.
+PARTS = frozenset(
+    "p li ul ol dl dt dd table caption thead tbody tfoot tr td th blockquote pre section figure figcaption details summary h1 h2 h3 h4 h5 h6".split()
+)
 #: An opening tag of these closes an open <p>.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _MARKS = re.compile(r"[.,;:!?…。，、！？；：]")
@@ -165,24 +171,17 @@ def main_text(page: str | None) -> str:
     inside = [p for p in parts if not p[1]]
     if not inside:
         return ""
-    named = [p for p in inside if any(step.split(".")[0] in ARTICLE for step in p[0])]
+    named = [p[2] for p in inside if any(step.split(".")[0] in ARTICLE for step in p[0])]
+    if named:
+        return " ".join(named)
     fused = ratios(inside)
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    chosen = [p for p, x in zip(inside, fused) if x >= min(spread, mean)]
-    if named:
-        # the element that names the article settles which container is meant
-        chosen = [p for p in chosen if p in named] or named
-    weight: dict = {}
-    for path, _, text in chosen:
-        for depth in range(1, len(path) + 1):
-            weight[path[:depth]] = weight.get(path[:depth], 0) + len(text)
-    total = sum(len(p[2]) for p in chosen)
-    best: tuple = ()
-    for path, held in weight.items():
-        leaf = path[-1].split(".")[0] in ("p", "li", "td", "blockquote", "pre")
-        if held >= 0.75 * total and len(path) > len(best) and not leaf:
-            best = path
+    chosen = [p[0] for p, x in zip(inside, fused) if x >= min(spread, mean)]
+    # the lowest container of all that is chosen; parts of a text are no container
+    best = os.path.commonprefix(chosen)
+    while best and best[-1].split(".")[0] in PARTS:
+        best = best[:-1]
     return " ".join(text for path, _, text in inside if path[: len(best)] == best)
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from reviewloom.llm.html_text import extract, main_text
@@ -36,3 +38,18 @@ def test_rows(spark):
     rows = extract(df).collect()
     assert len(rows) == 4 and {r.n_chars for r in rows} == {0, len(main_text(PAGE))}
     assert extract(df.limit(0)).count() == 0
+
+
+LONG = "A sentence that is long enough, with marks, to be told from a menu. " * 4
+PARTS = [
+    ("<h1>Head</h1><p>Intro, in short.</p><ul>" + f"<li>{LONG}</li>" * 9 + "</ul><p>The end.</p>"),
+    ("<h1>Head</h1><p>Intro, in short.</p><table>" + f"<tr><td>{LONG}</td><td>{LONG}</td></tr>" * 9 + "</table><p>The end.</p>"),
+    ("<section id='history'><h2>Then</h2>" + f"<p>{LONG}</p>" * 8 + f"</section><section id='usage'><h2>Now</h2><p>{LONG}</p><p>{LONG}</p></section>"),
+]
+
+
+@pytest.mark.parametrize("body", PARTS)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_all_parts_of_an_article(tag, body):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><{tag}>{body}</{tag}><footer>Imprint</footer></body></html>"
+    assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", body).split())
