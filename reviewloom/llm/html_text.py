@@ -38,12 +38,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that never hold article text.
 OUTSIDE = frozenset("head title nav header footer aside form button select option dialog menu".split())
-#: Words in class, id or role of such elements.
+#: Whole names in class, id or role of such elements.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs"
     " header masthead footer sidebar aside widget widgets comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal"
     " newsletter subscribe subscription signup login social share sharing related recommended form search pagination pager copyright skip toolbar complementary contentinfo".split()
 )
+#: Elements that are not outside for their names alone: themes and slugs of headings are among these.
+ALWAYS = frozenset("html body main article section h1 h2 h3 h4 h5 h6".split())
 #: Elements that name the article.
 ARTICLE = frozenset(["article", "main"])
 #: Elements that are parts of an article, so its other parts stand beside them.
@@ -59,10 +61,14 @@ _WORD = re.compile(r"[a-z]+")
 def _label(tag: str, rest: str) -> tuple[str, bool]:
     """A step of a path, and whether it leads outside the article."""
     words: set[str] = set()
+    names: set[str] = set()
     if rest:
         for groups in _NAMES.findall(rest):
-            words.update(_WORD.findall("".join(groups).lower()))
-    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), tag in OUTSIDE or not words.isdisjoint(OUTSIDE_WORDS)
+            value = "".join(groups).lower()
+            words.update(_WORD.findall(value))
+            names.update(value.split())
+    outside = tag in OUTSIDE or tag not in ALWAYS and not names.isdisjoint(OUTSIDE_WORDS)
+    return (f"{tag}.{'.'.join(sorted(words))}" if words else tag), outside
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:

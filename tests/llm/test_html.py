@@ -53,3 +53,21 @@ PARTS = [
 def test_all_parts_of_an_article(tag, body):
     page = f"<html><body><nav><a href='/'>Home</a></nav><{tag}>{body}</{tag}><footer>Imprint</footer></body></html>"
     assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", body).split())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article><h2>Head</h2><p>One.</p></article></body>",
+        "<body class='search'><main class='notice'><h2>Head</h2><p>One.</p></main></body>",
+        "<article class='comment-open'><h2>Head</h2><p>One.</p></article>",
+        "<article><h2 id='related-work'>Head</h2><p>One.</p></article>",
+        "<article><h2 id='search'>Head</h2><p>One.</p></article>",
+        "<article><section id='search-algorithms'><h2>Head</h2><p>One.</p></section></article>",
+        "<article><div id='ad-hoc-networks'><h2>Head</h2></div><p class='form-of-government'>One.</p></article>",
+    ],
+)
+def test_names_that_only_contain_a_word(page):
+    assert main_text(page) == "Head One."
+    for name in ("ad", "x sidebar", "Comments"):
+        assert main_text(page.replace("</h2>", f"</h2><div class='{name}'>Not this</div>")) == "Head One."
