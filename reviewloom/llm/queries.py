@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, jaccard, neighbours, packing, quality, substrings, token_counts
+from reviewloom.session import shared_folder
+
+from . import bpe, chat, html_text, jaccard, lexical, neighbours, packing, periodic, quality, substrings, token_counts, warc
 from .common import prepared, stored
 from .sql import SQL  # noqa: F401
 
@@ -98,3 +102,39 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     out = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), keep=["doc_id"])
     return out.select("doc_id", "bad_odds", "kept")
+
+
+def periodic_tail(key, words: list[bytes]) -> list[bytes]:
+    """The words of a document; for a tenth of the keys, with a tail made to repeat.
+
+    A null key changes nothing.
+    """
+    crc = zlib.crc32(str(int(key)).encode()) if key is not None and words else 1
+    if crc % 10:
+        return words
+    g, n = crc // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    unit = words[start : start + period]
+    return words[:start] + (unit * (-(-(n - start) // period)))[: n - start]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in all documents."""
+    return periodic.runs(table(spark, folder, "documents"), edit=periodic_tail)
+
+
+@query
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as archives, deduplicated by revisit records, and read back."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.records(table(spark, folder, "pages")), f"{path}/plain")
+    warc.deduplicate(spark, f"{path}/plain", f"{path}/deduplicated")
+    return warc.digests(spark, f"{path}/deduplicated")
+
+
+@query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -2,4 +2,55 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+#: Texts in lower case as far as A-Z goes, cut into terms.
+_TERMS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
+SQL: dict[str, str] = {
+    "op11_lexical_search": f"""
+with d as (
+  select row_number() over () as r, doc_id, {_TERMS} as terms from documents
+), lengths as (
+  select r, doc_id, len(terms) as n from d where len(terms) > 0
+), total as (
+  select count(*) as docs, sum(n)::bigint as words from lengths
+), postings as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from d) group by r, term
+), asked as (
+  select item, item_id, term, count(*) as times
+  from (select item, item_id, unnest(terms) as term
+        from (select row_number() over () as item, item_id, {_TERMS} as terms from benchmark))
+  group by item, item_id, term
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w
+  from postings, total group by term, docs
+), scores as (
+  select item, item_id, doc_id, r,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+  from asked join weights using (term) join postings using (term) join lengths using (r), total
+  group by item, item_id, doc_id, r
+), ranked as (
+  select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank
+  from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20""",
+    "op13_warc": """
+with p as (
+  select page_id, url, coalesce(html, '') as body, strlen(coalesce(html, '')) as payload_bytes,
+         sha1(coalesce(html, '')) as hex
+  from pages
+), d as (
+  select page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (((('0x' || substr(hex, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31))::int, 1)), '')
+           as payload_digest,
+         row_number() over (partition by body order by page_id nulls last) as place,
+         first_value(page_id) over (partition by body order by page_id nulls last) as original
+  from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when place = 1 then 'response' else 'revisit' end as record_type,
+       case when place = 1 then null else original end as refers_to
+from d""",
+}

@@ -30,6 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII byte that is no digit and no letter.
+SYMBOLS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -53,11 +55,11 @@ def powers(n: int, step: int = _STEP) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """Words of some texts: bounds of each word in ``data``, hashes, first word of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = _GAP):
         self.data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
         if lower:
             self.data = _LOWER[self.data]
-        gap = np.concatenate(([True], _GAP[self.data], [True]))
+        gap = np.concatenate(([True], gaps[self.data], [True]))
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -85,18 +87,21 @@ class Chunk:
         return b" ".join(data[a:b].tobytes() for a, b in zip(self.starts[word:stop], self.ends[word:stop]))
 
 
-def chunks(texts: list, lower: bool = False) -> Iterator[tuple[int, int, Chunk]]:
-    """Runs of texts of about ``CHUNK`` bytes: (from, to, their words). None is empty."""
+def chunks(texts: list, lower: bool = False, gaps: np.ndarray = _GAP) -> Iterator[tuple[int, int, Chunk]]:
+    """Runs of texts of about ``CHUNK`` bytes: (from, to, their words). None is empty.
+
+    ``gaps`` marks the bytes between words.
+    """
     held, size, start = [], 0, 0
     for i, text in enumerate(texts):
         raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
         if held and size + len(raw) > CHUNK:
-            yield start, i, Chunk(held, lower)
+            yield start, i, Chunk(held, lower, gaps)
             held, size, start = [], 0, i
         held.append(raw)
         size += len(raw)
     if held:
-        yield start, len(texts), Chunk(held, lower)
+        yield start, len(texts), Chunk(held, lower, gaps)
 
 
 class Runs:
