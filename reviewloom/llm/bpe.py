@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepared
+from .words import Chunk, chunks
 
 #: Characters that are encoded as one text at most; longer runs are halved.
 LEAF = 2048
 #: Characters of a text above which its pieces are encoded by tasks of their own.
 PIECE = 1 << 18
-#: Words remembered by a task.
-REMEMBERED = 400_000
+#: Words remembered by a task, in a table of objects and in one of arrays.
+REMEMBERED, KNOWN = 400_000, 2_000_000
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first and last character of each
 
@@ -240,6 +241,131 @@ class IdTable(WordTable):
         return [b"".join(map(self.__getitem__, words)) for words in self.words(texts)]
 
 
+class FlatTable:
+    """Whole texts to their ids as little-endian 32-bit numbers, by arrays.
+
+    The words of a run of texts are hashed together, and each distinct one is looked up
+    once among the sorted hashes of the known ones; the ids of the texts are then gathered
+    in one step. New words are encoded together: those of letters as one text, without
+    capitals and a closing mark, the others as one batch. Words are told apart by 64-bit
+    hashes. A full table starts anew, so memory is bounded.
+    """
+
+    def __init__(self, path: str):
+        self.single = IdTable(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hash = np.zeros(0, dtype=np.uint64)
+        self.place = self.start = self.count = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
+        marks = sorted(_CLOSING)
+        self._insert(Chunk(marks).hashes, [np.frombuffer(self.single[mark], "<u4") for mark in marks])
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word in the table, or -1."""
+        at = np.searchsorted(self.hash, hashes)
+        at[at == len(self.hash)] = 0
+        return np.where(self.hash[at] == hashes, self.place[at], -1)
+
+    def _insert(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Take in new words."""
+        self._append(hashes, np.array([len(x) for x in ids], dtype=np.int64), np.concatenate([*ids, self.flat[:0]]))
+
+    def _append(self, hashes: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        places = len(self.start) + np.arange(len(hashes))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.flat = np.concatenate((self.flat, flat))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hash, hashes[order])
+        self.hash = np.insert(self.hash, at, hashes[order])
+        self.place = np.insert(self.place, at, places[order])
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and where those of each end."""
+        count = self.count[places]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return self.flat[np.repeat(self.start[places] - ends[:-1], count) + np.arange(ends[-1])], ends
+
+    def _places(self, chunk: Chunk, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of distinct words; those that are new come in."""
+        if len(self.start) > KNOWN or len(self.flat) > 8 * KNOWN:
+            self._clear()
+        out = self._find(hashes)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            raw, at = chunk.data.tobytes(), first[new]
+            words = [raw[a:b] for a, b in zip(chunk.starts[at].tolist(), chunk.ends[at].tolist())]
+            parts = [_parts(word) for word in words]
+            base = [b for b, _, _ in parts]
+            self._learn({b: letters for b, _, letters in parts})
+            # a word that is its own base is known by now
+            out[new] = self._find(hashes[new])
+            left = np.flatnonzero(out[new] < 0)
+            if len(left):
+                bases = self._find(Chunk([base[i] for i in left.tolist()]).hashes)
+                marks = [parts[i][1] for i in left.tolist()]
+                known = {mark: int(self._find(Chunk([mark]).hashes)[0]) for mark in set(marks) - {b""}}
+                pairs = np.column_stack((bases, [known.get(mark, -1) for mark in marks])).ravel()
+                flat, ends = self._gathered(pairs[pairs >= 0])
+                cuts = np.concatenate(([0], np.cumsum((pairs >= 0).reshape(-1, 2).sum(axis=1))))
+                self._append(hashes[new][left], np.diff(ends[cuts]), flat)
+                out[new] = self._find(hashes[new])
+        return out
+
+    def _learn(self, bases: dict[bytes, bool]) -> None:
+        """Encode words that are not known; of letters only, or of any kind."""
+        hashes = Chunk(list(bases)).hashes
+        fresh = self._find(hashes) < 0
+        tokenizer = self.single.tokenizer
+        for letters in (True, False):
+            some = [(h, b) for h, (b, kind), new in zip(hashes.tolist(), bases.items(), fresh.tolist()) if new and kind == letters]
+            if not some:
+                continue
+            texts = [b.decode("utf-8", "replace") for _, b in some]
+            if letters:
+                # letters alone are one word to the tokenizer, whose last token says so
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.flatnonzero(self.single.ends[np.minimum(ids, len(self.single.ends) - 1)]) + 1
+                if len(ends) == len(some):
+                    self._append(np.array([h for h, _ in some], dtype=np.uint64), np.diff(ends, prepend=0), ids)
+                    continue
+            short = [text for text in texts if len(text) <= LEAF]
+            made = iter(tokenizer.encode_batch_fast(short, add_special_tokens=False))
+            one = [
+                np.array(next(made).ids if len(text) <= LEAF else encode_tree(tokenizer, text)[0], dtype="<u4")
+                for text in texts
+            ]
+            self._insert(np.array([h for h, _ in some], dtype=np.uint64), one)
+
+    def ids(self, texts: list) -> list[bytes]:
+        out = []
+        for _, _, chunk in chunks(texts):
+            hashes, first, which = np.unique(chunk.hashes, return_index=True, return_inverse=True)
+            flat, ends = self._gathered(self._places(chunk, hashes, first)[which])
+            flat, cuts = flat.tobytes(), (4 * ends[chunk.first]).tolist()
+            out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes, bool]:
+    """A word without ASCII capitals and closing mark, that mark, and whether the rest is
+    letters. Capitals may tell a word from a special token, so those stay as they are."""
+    if b"<|" in word:
+        return word, b"", False
+    low = word.lower()
+    if _letters(low):
+        return low, b"", len(low) <= 64
+    if low[-1:] in _CLOSING and _letters(low[:-1]):
+        return low[:-1], low[-1:], len(low) <= 64
+    return low, b"", False
+
+
+def _letters(word: bytes) -> bool:
+    return word.isalpha() or (not word.isascii() and word.decode("utf-8", "replace").isalpha())
+
+
 class ShortTable(IdTable):
     """The same with 16-bit numbers, for vocabularies below 65,536."""
 

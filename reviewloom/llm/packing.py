@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IdTable, binary, task_table
+from .bpe import FlatTable, binary, task_table
 from .common import prepared, stored
 
 #: Open sequences of a task, and tasks whose open sequences are merged by one task.
@@ -121,7 +121,7 @@ def pack(
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        table, end = task_table(IdTable, path), binary([eod])
+        table, end = task_table(FlatTable, path), binary([eod])
         packer = Packer(size, TaskContext.get().partitionId(), 0)
         for batch in batches:
             for k, ids in zip(batch["k"], table.ids(batch["t"].tolist())):

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest_llm import path, tokenizer  # noqa: F401
+from conftest_llm import path, prose, tokenizer  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,3 +53,15 @@ def test_encode_handles_odd_rows(spark, path, tokenizer, monkeypatch):
 
 def test_binary_ids():
     assert bpe.binary([1, 70000]) == np.array([1, 70000], dtype="<u4").tobytes()
+
+
+def test_flat_table(path, tokenizer, monkeypatch):
+    """Ids by arrays are the library's, in a table that starts anew all the time too."""
+    texts = [prose(i, 40 + 90 * i) for i in range(12)] + [None, "", " \n", "Don't. STOP! <|endoftext|> <|EndOfText|> <|x"]
+    texts += ["É é É. straße! ΑΣ ας ΑΣ, İstanbul ǅ ﬁ", "a" * 300 + " " + "Ab1" * 1500, "x. X x! X, y) (y", "12 12. 1,000 é ‍ ½"]
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert bpe.FlatTable(path).ids(texts) == want
+    monkeypatch.setattr(bpe, "KNOWN", 40)
+    table = bpe.FlatTable(path)
+    assert [table.ids([t])[0] for t in texts] == want
+    assert table.ids([]) == [] and table.ids([None, ""]) == [b"", b""]
