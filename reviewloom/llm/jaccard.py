@@ -9,6 +9,7 @@
    overlap: a forest, so that no group is ever listed pair by pair. Where a key is so
    common that its group is large, all of the group is tied to one of them, which loses
    nothing either; a batch of texts does so ahead of the shuffle. Tied sets are a cluster.
+   Keys are neither written nor shuffled one by one, but packed by parts of their range.
 3. The members of a cluster meet as tiles of a bounded number of sets. In a tile, sets are
    ordered by size; a pair is passed over when sizes are too far apart, or when the bits
    that only one of two hashed bitmaps has leave too little overlap. The rest are
@@ -44,6 +45,8 @@ BITS = 16
 #: Sets with a key in common that are compared by bitmaps, over all and in one batch of
 #: texts; those of a larger group are tied without a look at them.
 GROUP, LOCAL = 2000, 32
+#: Candidate keys packed together, for each part of their range.
+PACKED = 64
 
 
 def bands(largest: int) -> np.ndarray:
@@ -217,44 +220,108 @@ def classes(
     ``component_id`` is the smallest key reachable by links, the own one included. Texts
     that are null or have no words have no shingles and link with nothing. Texts with
     equal sets link. Keys are integers; a null key takes no part in links and is its own
-    component; repeated keys count as one text each but share what they reach. Empty
-    tables stay empty; other columns are left out.
+    component; rows that repeat a key count as one text each but share what they reach.
+    Empty tables stay empty; other columns are left out.
     """
+    reach = _reach(df, k, num, den, text, key)
+    texts = reach.where("k is not null").select(
+        F.col("k").alias("a"), F.coalesce("part", F.xxhash64("k", F.lit("alone"))).alias("b")
+    )
+    least = reach.where("part is not null").groupBy("part").agg(F.min("k").alias("least"))
+    out = reach.join(stored(least, "least"), "part", "left")
+    out = out.select("k", "n", F.coalesce("least", "k").alias("c"))
+    # a key in several parts joins them
+    several = texts.distinct().groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    several = stored(several, "several")
+    if not several.isEmpty():
+        own = out.where("k is not null").select(F.col("k").alias("a"), F.col("c").alias("b")).distinct()
+        final = components(own.join(several, "a").union(own.select("b", "b")).union(own.select("a", "a")))
+        final = stored(final.select(F.col("node").alias("c"), F.col("component").alias("whole")), "keys")
+        out = out.join(final, "c", "left").select("k", "n", F.coalesce("whole", "c").alias("c"))
+    return out.select(
+        F.col("k").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("k").isNull(), F.col("k")).otherwise(F.col("c")).alias("component_id"),
+    )
+
+
+def unique(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without near copies: of each group of linked texts one row stays.
+
+    It is one with the smallest key, then the smallest hash of its text. Rows are told
+    apart by key and text, so rows that repeat a key go or stay by their own texts; of
+    rows that repeat both, one stays. Rows without words or key stay.
+    """
+    # only keys and hashes are grouped; texts move in the last joins
+    reach = _reach(df, k, num, den, text, key).where("part is not null and k is not null")
+    best = F.min(F.struct("k", "h")).alias("best")
+    best = stored(reach.groupBy("part").agg(best), "best")
+    rows = reach.groupBy("part", "k", "h").agg(F.count("*").alias("copies"))
+    gone = stored(rows.join(best, "part").where("struct(k, h) <> best").select("k", "h"), "gone")
+    again = stored(rows.join(best, "part").where("struct(k, h) = best and copies > 1").select("k", "h"), "copies")
+    made = F.col(f"`{key}`").cast("long"), F.xxhash64(f"`{text}`")
+    named = df.select(F.struct("*").alias("row"), made[0].alias("k"), made[1].alias("h"))
+    left = named.join(gone, ["k", "h"], "left_anti")
+    if not again.isEmpty():
+        one = left.join(again, ["k", "h"], "left_semi").dropDuplicates(["k", "h"])
+        left = left.join(again, ["k", "h"], "left_anti").unionByName(one)
+    return left.select("row.*")
+
+
+def _reach(df: DataFrame, k: int, num: int, den: int, text: str, key: str) -> DataFrame:
+    """Rows (k, h, n, part), one per text: key, hash of the text, size of its set, and what
+    it is joined with; no part where the set is empty."""
     if not num / den > RATIO:
         raise ValueError(f"the threshold must be above {RATIO}")
-    prepared(df.sparkSession)
+    spark = prepared(df.sparkSession)
     named = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    named = named.withColumn("h", F.xxhash64("t"))
 
-    few, most = LOCAL, GROUP
+    few, most, bits = LOCAL, GROUP, _range_bits(spark)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch: a row (k, n, sid) for each text, (n, sid, bits) for each set, and
-        (sid, candidate, whole) for its keys."""
-        edges = bands(1000)
+        """Per batch: a row (k, h, n, sid) for each text, and (n, sid, bits) for each set."""
         for batch in batches:
             if not len(batch):
                 continue
-            known, texts, maps = {}, [], []
-            for name, values in zip(batch["k"].tolist(), shingle_sets(batch["t"].tolist(), k)):
+            known, texts, maps = set(), [], []
+            for name, h, values in zip(batch["k"].tolist(), batch["h"].tolist(), shingle_sets(batch["t"].tolist(), k)):
                 sid = set_id(values) if len(values) else None
-                texts.append((name, len(values), sid))
+                texts.append((name, h, len(values), sid))
                 if sid is not None and sid not in known:
-                    if len(values) >= edges[-2]:
-                        edges = bands(2 * len(values))
-                    known[sid] = keys(values, num, den, edges)
+                    known.add(sid)
                     maps.append((len(values), sid, scaled_bitmap(values)))
-            yield _columns(texts, ["k", "n", "sid"])
+            yield _columns(texts, ["k", "h", "n", "sid"])
             if known:
                 yield _columns(maps, ["n", "sid", "bits"])
-                yield _local_groups(known, few)
 
-    shape = "k long, n long, sid long, bits binary, candidate long, whole boolean"
-    rows = stored(named.mapInPandas(describe, shape), "sets")
-    texts = rows.where("candidate is null and bits is null").select("k", "n", "sid")
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The candidate keys of the sets, packed by parts of their range."""
+        edges, held, size = bands(1000), [], 0
+        for batch in batches:
+            known = {}
+            for values in shingle_sets(batch["t"].tolist(), k):
+                sid = set_id(values) if len(values) else None
+                if sid is not None and sid not in known:
+                    if len(values) >= edges[-2]:
+                        edges = bands(2 * len(values))
+                    known[sid] = keys(values, num, den, edges)
+            if known:
+                held.append(_local_groups(known, few))
+                size += len(held[-1][0])
+            if size >= PACKED << bits:
+                yield _packed(held, bits)
+                held, size = [], 0
+        if held:
+            yield _packed(held, bits)
+
+    rows = stored(named.mapInPandas(describe, "k long, h long, n long, sid long, bits binary"), "sets")
+    texts = rows.where("bits is null").select("k", "h", "n", "sid")
     maps = rows.where("bits is not null").select("sid", "n", "bits").dropDuplicates(["sid"])
 
-    keyed = rows.where("candidate is not null").select("candidate", "sid", "whole")
-    ordered = keyed.repartition("candidate").sortWithinPartitions("candidate", "sid")
+    blocks = named.select("t").mapInPandas(locate, "part int, keys binary, sids binary, which binary, whole binary")
+    keyed = blocks.repartition("part").mapInPandas(_unpacked, "candidate long, sid long, whole boolean")
+    ordered = keyed.sortWithinPartitions("candidate", "sid")
     met = stored(ordered.mapInPandas(lambda batches: _groups(batches, most), "shared long, a long, b long").distinct(), "met")
     held = met.where("shared is not null").select("shared", F.col("a").alias("sid")).join(maps, "sid")
 
@@ -291,7 +358,7 @@ def classes(
     clusters = stored(components(ties).withColumnRenamed("node", "sid"), "clusters")
 
     # one text of each set; members of a cluster in tiles
-    one = texts.where("sid is not null and k is not null").groupBy("sid").agg(F.min("k").alias("k"))
+    one = texts.where("sid is not null and k is not null").groupBy("sid").agg(F.min(F.struct("k", "h")).alias("k"))
     counts = clusters.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     members = clusters.join(one, "sid").join(counts, "component")
     members = members.withColumn("tile", F.expr("pmod(xxhash64(sid), tiles)"))
@@ -303,8 +370,8 @@ def classes(
     hubs = hubs.join(one, "sid").join(large, "component").withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1)")))
     placed = members.select("component", "tile", "sid", "k").union(hubs.select("component", "tile", "sid", "k")).distinct()
     placed = placed.select(F.xxhash64("component", "tile").alias("tile"), "sid", "k", F.lit(True).alias("apart"))
-    need = members.select("k", "sid", "component", "tiles")
-    bodies = named.join(need, "k").groupBy("sid", "component", "tiles").agg(F.first("t").alias("t"))
+    need = members.select("k.*", "sid")
+    bodies = named.join(need, ["k", "h"]).groupBy("sid").agg(F.first("t").alias("t"))
     bodies = stored(bodies, "bodies")
     first = stored(_compare(placed.join(bodies.select("sid", "t"), "sid").select("tile", "sid", "t", "apart"), k, num, den), "links")
 
@@ -320,31 +387,66 @@ def classes(
     again = own.union(spread).distinct().select(F.xxhash64("component", "tile").alias("tile"), "sid", "apart")
     second = _compare(again.join(bodies.select("sid", "t"), "sid").select("tile", "sid", "t", "apart"), k, num, den)
 
-    # from sets to texts: the smallest key of each group of sets
+    # from sets to texts
     links = stored(first.union(second), "links")
     final = components(links).select(F.col("node").alias("sid"), F.col("component").alias("part"))
     reach = texts.join(final, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
-    reach = stored(reach.select("k", "n", "part"), "reach")
-    least = reach.where("part is not null").groupBy("part").agg(F.min("k").alias("least"))
-    out = reach.join(stored(least, "least"), "part", "left")
-    return out.select(
-        F.col("k").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("k").isNull(), F.col("k")).otherwise(F.coalesce("least", "k")).alias("component_id"),
-    )
+    return stored(reach.select("k", "h", "n", "part"), "reach")
+
+
+def _range_bits(spark) -> int:
+    """Bits of a key that name its part of the range: some parts for each shuffle partition."""
+    return min(15, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2)
+
+
+def _packed(held: list[tuple], bits: int) -> pd.DataFrame:
+    """Rows (part, keys, sids, which, whole) of candidate keys: one for each part of their
+    range, with 40 further bits of each key and the place of its set among ``sids``."""
+    cand, sid, whole = (np.concatenate(x) for x in zip(*held))
+    cand = cand.view(U64)
+    order = np.argsort(cand)
+    cand, sid, whole = cand[order], sid[order], whole[order]
+    part = (cand >> U64(64 - bits)).astype(np.int64)
+    low = ((cand >> U64(24 - bits)) & U64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))).tolist()
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        sids, which = np.unique(sid[a:b], return_inverse=True)
+        if len(sids) > 1 << 16 or 8 * len(sids) + 2 * (b - a) > 8 * (b - a):
+            sids, which = sid[a:b], np.zeros(0)
+        packed = np.packbits(whole[a:b]).tobytes() if whole[a:b].any() else b""
+        rows.append((int(part[a]), low[a:b].tobytes(), sids.tobytes(), which.astype("<u2").tobytes(), packed))
+    return pd.DataFrame(rows, columns=["part", "keys", "sids", "which", "whole"])
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (candidate, sid, whole) of packed ones; candidates have their part and 40 bits."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            n = len(row.keys) // 5
+            low = np.zeros((n, 8), dtype=np.uint8)
+            low[:, :5] = np.frombuffer(row.keys, np.uint8).reshape(n, 5)
+            sids = np.frombuffer(row.sids, np.int64)
+            whole = np.unpackbits(np.frombuffer(row.whole, np.uint8), count=n).astype(bool) if row.whole else np.zeros(n, bool)
+            yield pd.DataFrame(
+                {
+                    "candidate": low.view("<u8").ravel().astype(np.int64) | (row.part << 40),
+                    "sid": sids[np.frombuffer(row.which, "<u2")] if row.which else sids,
+                    "whole": whole,
+                }
+            )
 
 
 def _columns(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     """Rows of ``describe`` with some of its columns, the others null."""
     whole = lambda values: pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
     given = dict(zip(names, zip(*rows)))
-    out = {name: whole(given.get(name, [None] * len(rows))) for name in ("k", "n", "sid")}
-    bits = pd.Series(given.get("bits", [None] * len(rows)), dtype=object)
-    return pd.DataFrame(out).assign(bits=bits, candidate=pd.array([None] * len(rows), dtype="Int64"), whole=None)
+    out = {name: whole(given.get(name, [None] * len(rows))) for name in ("k", "h", "n", "sid")}
+    return pd.DataFrame(out).assign(bits=pd.Series(given.get("bits", [None] * len(rows)), dtype=object))
 
 
-def _local_groups(known: dict[int, np.ndarray], few: int) -> pd.DataFrame:
-    """The keys of the sets of a batch.
+def _local_groups(known: dict[int, np.ndarray], few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the sets of a batch: (candidate, sid, whole).
 
     If more than ``few`` sets have a key, the first keeps it, as one whose group is
     whole. Each other one is tied to that set by a key of their own, which is whole too,
@@ -362,15 +464,11 @@ def _local_groups(known: dict[int, np.ndarray], few: int) -> pd.DataFrame:
     stays = ~large | (sid == hub)
     tied = np.unique(np.column_stack((hub, sid))[~stays], axis=0)
     made = signed(mix(tied[:, 0].astype(U64) ^ U64(0x5DEECE66D1CE4E5B)))
-    out = pd.DataFrame(
-        {
-            "sid": np.concatenate((sid[stays], tied[:, 0], tied[:, 1])),
-            "candidate": np.concatenate((cand[stays], made, made)),
-            "whole": np.concatenate((large[stays], np.ones(2 * len(tied), dtype=bool))),
-        }
-    ).drop_duplicates()
-    none = pd.array([None] * len(out), dtype="Int64")
-    return out.assign(k=none, n=none, bits=None)[["k", "n", "sid", "bits", "candidate", "whole"]]
+    return (
+        np.concatenate((cand[stays], made, made)),
+        np.concatenate((sid[stays], tied[:, 0], tied[:, 1])),
+        np.concatenate((large[stays], np.ones(2 * len(tied), dtype=bool))),
+    )
 
 
 def _larger(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:

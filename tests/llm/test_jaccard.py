@@ -91,3 +91,32 @@ def test_bitmaps_lose_no_pair():
             assert tuple(sorted((i, j))) in links
         if n > 1:
             assert len(links) == 1
+
+
+def near(text, seed):
+    words = text.split()
+    words[seed % len(words)] = f"changed{seed}"
+    return " ".join(words)
+
+
+def test_repeated_keys(spark):
+    """Rows that repeat a key are texts of their own, and share what they reach."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(500)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, b), (1, a), (2, near(a, 3)), (3, near(b, 5)), (4, c), (4, None), (5, near(c, 7)), (6, ""), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.component_id) for r in jaccard.classes(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    assert jaccard.classes(df).count() == len(rows)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.unique(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, c), (4, None), (6, "")], key=str)
+
+
+def test_keys_are_packed_whole():
+    rng = np.random.default_rng(3)
+    cand, sid = rng.integers(-(2**63), 2**63, 5000), rng.integers(0, 2**62, 40)[rng.integers(0, 40, 5000)]
+    whole = rng.random(5000) < 0.01
+    for bits in (1, 4, 15):
+        out = pd.concat(jaccard._unpacked(iter([jaccard._packed([(cand[:9], sid[:9], whole[:9]), (cand[9:], sid[9:], whole[9:])], bits)])))
+        key = (cand.view(np.uint64) >> np.uint64(24 - bits)).astype(np.int64)
+        assert sorted(zip(key, sid, whole)) == sorted(zip(out["candidate"], out["sid"], out["whole"]))
