@@ -19,12 +19,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Shingles have five words, links a similarity of 0.8 or more. Documents without words
-    link with nothing and stay.
+    Shingles have five words, links a similarity of 0.8 or more. Rows that repeat an id are
+    told apart by their texts. Documents without words or id link with nothing and stay.
     """
-    classes = stored(jaccard.classes(docs, k=5, num=8, den=10), "classes")
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.unique(docs, k=5, num=8, den=10).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
