@@ -30,7 +30,7 @@ LEAF = 2048
 #: Characters of a text above which its pieces are encoded by tasks of their own.
 PIECE = 1 << 18
 #: Words remembered by a task, in a table of objects and in one of arrays.
-REMEMBERED, KNOWN = 400_000, 2_000_000
+REMEMBERED, KNOWN = 400_000, 500_000
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first and last character of each
 
