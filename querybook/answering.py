@@ -5,17 +5,20 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from reviewloom.operators import inference, prompts, sentiment, topics
+from reviewloom.operators.calls import infer_batched as call_batched
 from reviewloom.operators.inference import with_prompt_key
 from reviewloom.plans.analysis import sentiment_prompts
 from reviewloom.schema import CACHE_ENTRY
 from reviewloom.session import shared_folder
-from reviewloom.sources.response_cache import one_answer_per_key
+from reviewloom.sources.response_cache import append_responses, read_responses
 
 from .inputs import ctes, quoted
 from .registry import query
 from .standin import (
+    REFUSED,
     confidence_sql,
     emotion_sql,
+    list_client,
     rendered_sql,
     sentiment_label_sql,
     standin_client,
@@ -193,6 +196,26 @@ def infer_column(t):
     )
 
 
+@query(
+    "infer_batched",
+    ctes("clean", **_ANSWERED)
+    + f"""select review_id, case when n % {REFUSED} = 0 then 'neutral' else {sentiment_label_sql('n')} end as sentiment,
+ case when n % {REFUSED} = 0 then cast(0.5 as double) else {confidence_sql('n')} end as confidence,
+ case when n % {REFUSED} <> 0 then n % 1000 end as tokens_used,
+ case when n % {REFUSED} = 0 then 'ValueError: refused' end as error from sent""",
+)
+def infer_batched(t):
+    """Calls of eight prompts, four in flight in each task; failing prompts by themselves."""
+    keyed = sentiment_prompts(t.clean(), MODEL)
+    answered = call_batched(
+        keyed, list_client, MODEL, "standin", keep=("review_id",), batch_size=8, in_flight=4
+    )
+    parsed = sentiment.parse_sentiments(answered)
+    return parsed.select(
+        "review_id", "sentiment", "confidence", F.col("tokens_used").cast("bigint").alias("tokens_used"), "error"
+    )
+
+
 @query("cache_first", ctes("clean", **_ANSWERED) + f"select review_id, {_ANSWER}, prompt_hash from sent")
 def cache_first(t):
     """Stores the answers in a fresh table of the shared folder, then looks them up."""
@@ -227,8 +250,11 @@ def _cache_parts(t):
     + "select review_id, prompt_hash, content is not null as hit from sent left join cache using (prompt_hash)",
 )
 def cache_lookup(t):
-    keyed, stored = _cache_parts(t)
-    found = inference.cache_lookup(keyed, one_answer_per_key(stored), ("review_id",))
+    """Through a store of its own, which is written first."""
+    keyed, answers = _cache_parts(t)
+    path = f"{shared_folder(t.spark)}/responses-{uuid4().hex}"
+    append_responses(answers, path)
+    found = inference.cache_lookup(keyed, read_responses(t.spark, path), ("review_id",))
     return found.select("review_id", "prompt_hash", F.col("content").isNotNull().alias("hit"))
 
 

@@ -70,8 +70,9 @@ class Tables:
         copies = F.expr("case when review_id % 10 = 0 then array(1, 2) else array(1) end")
         return self._derived(RAW_FIELDS).withColumn("copy", F.explode(copies)).drop("copy")
 
-    def clean(self) -> DataFrame:
-        return clean_reviews(self.raw())
+    def clean(self, *columns: str) -> DataFrame:
+        """Cleaned reviews, with the named columns only if there are any."""
+        return clean_reviews(self.raw(), columns=columns or None)
 
     def responses(self, prompt: str = "text") -> DataFrame:
         """Model answers: good, fenced, an array where an object was due, no JSON."""

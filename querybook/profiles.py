@@ -15,17 +15,17 @@ def _lengths(column: str, table: str) -> str:
 
 @query("row_count", ctes("clean") + "select count(*) as count from clean")
 def row_count(t):
-    return profile.row_count(t.clean())
+    return profile.row_count(t.clean("rating"))
 
 
 @query("category_counts", ctes("clean") + "select category, count(*) as count from clean group by category")
 def category_counts(t):
-    return profile.category_counts(t.clean())
+    return profile.category_counts(t.clean("category"))
 
 
 @query("rating_counts", ctes("clean") + "select rating, count(*) as count from clean group by rating")
 def rating_counts(t):
-    return profile.rating_counts(t.clean())
+    return profile.rating_counts(t.clean("rating"))
 
 
 @query(
@@ -33,17 +33,17 @@ def rating_counts(t):
     ctes("clean") + "select rating, count(*) as count from clean group by rating order by rating",
 )
 def rating_distribution(t):
-    return profile.rating_distribution(t.clean())
+    return profile.rating_distribution(t.clean("rating"))
 
 
 @query("average_rating", ctes("clean") + "select avg(rating) as average_rating from clean")
 def average_rating(t):
-    return profile.average_rating(t.clean())
+    return profile.average_rating(t.clean("rating"))
 
 
 @query("distinct_ratings", ctes("clean") + "select distinct rating from clean order by rating")
 def distinct_ratings(t):
-    return profile.distinct_ratings(t.clean())
+    return profile.distinct_ratings(t.clean("rating"))
 
 
 @query(
@@ -70,7 +70,7 @@ def column_length(t):
     ctes("clean") + f"""select strftime(min(date), {ISO}) as "start", strftime(max(date), {ISO}) as "end" from clean""",
 )
 def date_range(t):
-    return profile.date_range(t.clean())
+    return profile.date_range(t.clean("date"))
 
 
 SUMMARY_LINES = f"""

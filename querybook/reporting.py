@@ -23,7 +23,7 @@ from .answering import (
 from .inputs import ISO, ctes
 from .profiles import STATISTICS_CTES, STATISTICS_LINES
 from .registry import query
-from .standin import confidence_sql, rendered_sql, sentiment_label_sql, standin_client
+from .standin import confidence_sql, rendered_sql, sentiment_label_sql, packing_client, standin_client
 
 
 def _counts(column: str) -> str:
@@ -89,8 +89,7 @@ _SENT = rendered_sql(prompts.SENTIMENT_PROMPT, feedback="comment")
 _TOPIC = rendered_sql(prompts.TOPIC_PROMPT, comment="comment")
 
 
-@query(
-    "full_analysis",
+_FULL_ANALYSIS = (
     ctes(
         "clean",
         **STATISTICS_CTES,
@@ -109,12 +108,25 @@ _TOPIC = rendered_sql(prompts.TOPIC_PROMPT, comment="comment")
 union all select 'sentiment_analysis', null, null, null, json from sentiment_json
 union all select 'topic_extraction', null, null, null, json from topic_json
 union all select 'final_summary', 'recommendations', null, null, 'Report on ' || length(prompt) || ' characters' from prompt
-union all select 'statistics', metric, key, value, null from statistics""",
+union all select 'statistics', metric, key, value, null from statistics"""
 )
+
+
+@query("full_analysis", _FULL_ANALYSIS)
 def full_analysis(t):
     """The whole analysis over the whole table, every result in one tall frame."""
+    return _tall(t, standin_client)
+
+
+@query("full_analysis_packed", _FULL_ANALYSIS)
+def full_analysis_packed(t):
+    """The same with five prompts a request, some of which lack an answer."""
+    return _tall(t, packing_client, batch_size=5, rows_per_bucket=100)
+
+
+def _tall(t, client, **packing):
     work_dir = f"{shared_folder(t.spark)}/analysis-{uuid4().hex}"
-    result = analyze(t.raw(), work_dir, {"standin": standin_client}, MODEL)
+    result = analyze(t.raw(), work_dir, {"standin": client}, MODEL, **packing)
 
     def lines(section, frame, metric, key, value, text):
         return frame.select(

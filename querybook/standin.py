@@ -38,6 +38,54 @@ def _standin():
     return lambda: client
 
 
+def _packing_standin():
+    """The same, and each item of a packed request is answered as a prompt of its own.
+
+    Some requests are a pack short of their last answer.
+    """
+    single, packed = _standin(), PACKED_OPENING
+    item = rf"(?m)^\d+\. (?={SENTIMENT_OPENING}|{TOPIC_OPENING})"
+
+    def build():
+        import re
+
+        client = single()
+
+        def answer(prompt: str) -> dict:
+            if not prompt.startswith(packed):
+                return client(prompt)
+            items = [text.removesuffix("\n") for text in re.split(item, prompt)[1:]]
+            if len(prompt) % 3 == 0:
+                items = items[:-1]
+            return {"content": "[" + ", ".join(client(text)["content"] for text in items) + "]"}
+
+        return answer
+
+    return build
+
+
+def _list_standin(refused: int):
+    """Lists of prompts; a call that holds a prompt of certain lengths fails."""
+    single = _standin()
+
+    def build():
+        client = single()
+
+        def answers(prompts: list[str]) -> list[dict]:
+            if any(len(prompt) % refused == 0 for prompt in prompts):
+                raise ValueError("refused")
+            return [client(prompt) for prompt in prompts]
+
+        return answers
+
+    return build
+
+
+#: Lengths of prompts that the list client refuses are multiples of this.
+REFUSED = 50
+packing_client = _packing_standin()
+list_client = _list_standin(REFUSED)
+
 #: Client factory. It is built inside a function, so that it travels to the tasks by
 #: value and they need not find this module.
 standin_client = _standin()

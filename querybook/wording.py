@@ -1,6 +1,6 @@
 """Words."""
 
-from reviewloom.operators import words
+from reviewloom.operators import heavy, words
 
 from .inputs import TOKENS, ctes
 from .registry import query
@@ -62,3 +62,12 @@ def letter_words(t):
 )
 def digit_runs(t):
     return words.digit_runs(t.clean(), "comment", "review_id")
+
+
+@query(
+    "frequent_words",
+    ctes("clean", **_WORDS)
+    + "select word, count(*) as count from words group by word order by count desc, word limit 20",
+)
+def frequent_words(t):
+    return heavy.frequent_words(t.clean(), k=20)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..functions.keys import row_key
 from ..functions import text as textfn
 
 # Headers of a review file and the names used from there on.
@@ -43,13 +44,24 @@ def _on(df: DataFrame, column: str, change) -> DataFrame:
     return df.withColumn(column, change(F.col(column))) if column in df.columns else df
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Exact duplicates over all columns.
 
     A hash aggregation on the whole row: copies collapse before the shuffle, so a
-    row repeated a billion times reaches a reducer once per map task.
+    row repeated a billion times reaches a reducer once per map task. With ``columns``
+    only those come back, and a 128-bit digest of the whole row, taken where it is read,
+    goes through the shuffle in place of the other columns. Rows are still told apart by
+    all columns.
     """
-    return df.dropDuplicates()
+    if columns is None:
+        return df.dropDuplicates()
+    columns = list(columns)
+    require_columns(df, *columns)
+    digest = "_digest"
+    while digest in columns:
+        digest += "_"
+    names = [f"`{name}`" for name in columns]
+    return df.select(row_key(df).alias(digest), *names).dropDuplicates().select(*names)
 
 
 def drop_personal(df: DataFrame) -> DataFrame:
@@ -83,14 +95,26 @@ def drop_incomplete(df: DataFrame, columns: Iterable[str] = REQUIRED_VALUES) ->
     return df
 
 
-def clean_reviews(df: DataFrame, missing_rating: float | None = 0.0) -> DataFrame:
+def clean_reviews(
+    df: DataFrame, missing_rating: float | None = 0.0, columns: Iterable[str] | None = None
+) -> DataFrame:
     """The whole cleaning. Duplicates go first, while the name still counts.
 
+    Name the ``columns`` that are read when those are few: the others, long comments for
+    one, then stay out of the shuffle. It gives the same rows, with those columns.
+
     A comment is missing after cleaning only if it was before, so that test comes
     ahead of the shuffle and costs nothing. Tested at the end, it would be moved there
     by the optimizer together with the cleaning of the text, which would then run on
     every copy and once more on the rows kept.
     """
+    if columns is not None:
+        columns = list(columns)
+        named = canonical_names(df)
+        needed = dict.fromkeys([*columns, *(n for n in ("rating", "date") if n in named.columns)])
+        narrow = named.transform(drop_incomplete, ["comment"]).transform(drop_duplicate_rows, needed)
+        cleaned = narrow.transform(parse_columns, missing_rating).transform(drop_incomplete, ["rating", "date"])
+        return cleaned.select(*[f"`{name}`" for name in columns])
     return (
         df.transform(canonical_names)
         .transform(drop_incomplete, ["comment"])

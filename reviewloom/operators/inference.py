@@ -20,7 +20,8 @@ from ..functions.keys import prompt_key
 from ..functions.numbers import tally
 from ..schema import RESPONSE
 from ..session import shared_folder
-from ..sources.response_cache import append_responses, read_responses
+from ..sources.response_cache import append_responses, current_version, read_responses
+from .calls import ListClientFactory, infer_batched
 from .clean import require_columns
 from .prompts import pack_prompts, with_system_prompt
 
@@ -163,19 +164,20 @@ def share_packed(responses: DataFrame) -> DataFrame:
     ).select("prompt_hash", *RESPONSE.names)
 
 
-def _in_rounds(misses: DataFrame, rounds: int) -> Iterator[DataFrame]:
-    """The misses, or equal shares of them by key range.
+def _written(misses: DataFrame) -> DataFrame:
+    """The misses in a table, sorted by key so that a reader of a range skips the other pages."""
+    spark = misses.sparkSession
+    path = f"{shared_folder(spark)}/misses-{uuid4().hex}"
+    misses.sortWithinPartitions("prompt_hash").write.parquet(path)
+    return spark.read.schema(misses.schema).parquet(path)
 
-    Shares are read from a written table, sorted by key so that a reader of one range
-    skips the pages of the others.
-    """
+
+def _in_rounds(misses: DataFrame, rounds: int) -> Iterator[DataFrame]:
+    """The misses, or equal shares of them by key range, read from a written table."""
     if rounds == 1:
         yield misses
         return
-    spark = misses.sparkSession
-    path = f"{shared_folder(spark)}/misses-{uuid4().hex}"
-    misses.sortWithinPartitions("prompt_hash").write.parquet(path)
-    written = spark.read.schema(misses.schema).parquet(path)
+    written = _written(misses)
     # Keys are hexadecimal digests, so their first eight digits are spread evenly.
     bounds = [f"{i * 16**8 // rounds:08x}" for i in range(rounds)]
     key = F.col("prompt_hash")
@@ -193,27 +195,76 @@ def store_answers(
     prompt: str = "prompt",
     batch_size: int | None = None,
     rounds: int = 1,
+    list_client: ListClientFactory | None = None,
+    in_flight: int = 8,
 ) -> DataFrame:
     """Call the model for the prompts not yet stored, and append the answers.
 
-    Runs the job and returns the stored table. ``tasks`` is the number of calls in
-    flight. It is fixed rather than left to adaptive execution, which would merge the
+    Runs the job and returns the stored table. ``tasks`` is the number of tasks that call.
+    It is fixed rather than left to adaptive execution, which would merge the
     misses by size and so make the calls queue up in a few tasks. ``batch_size`` packs
     that many prompts into one call. ``rounds`` stores the answers in that many steps:
     a job that fails keeps the rounds before, and the next run asks only for the rest.
+    With a ``list_client`` each task has up to ``in_flight`` calls in flight, each with
+    ``batch_size`` prompts as a list, and prompts that fail are left for the next run.
     """
     spark = keyed.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
+    version = current_version(spark, cache_path)
     misses = cache_misses(keyed, read_responses(spark, cache_path), prompt)
     for share in _in_rounds(misses, rounds):
-        if batch_size is None:
-            spread = share.repartition(tasks, "prompt_hash")
+        spread = share.repartition(tasks, "prompt_hash")
+        if list_client is not None:
+            responses = infer_batched(
+                spread, list_client, model, provider, prompt, batch_size=batch_size or 1, in_flight=in_flight
+            )
+        elif batch_size is None:
             responses = infer(spread, client_factory, model, provider, prompt)
         else:
             packed = pack_prompts(share, batch_size, prompt=prompt).repartition(tasks, "batch_id")
             requests = infer(packed, client_factory, model, provider, prompt, keep=("keys",))
             responses = share_packed(requests)
-        append_responses(responses, cache_path)
+        version = append_responses(responses, cache_path, version)
+    return read_responses(spark, cache_path)
+
+
+def store_packed(
+    keyed: DataFrame,
+    cache_path: str,
+    client_factory: ClientFactory,
+    model: str,
+    provider: str,
+    batch_size: int,
+    system_prompt: str | None = None,
+    tasks: int | None = None,
+    prompt: str = "prompt",
+    repeats: int = 1,
+    rows_per_bucket: int = 10_000,
+) -> DataFrame:
+    """Store the answers of prompts sent in packs, and return the stored table.
+
+    ``keyed`` has the prompts without the system prompt, which goes ahead of each request
+    once, and keys that include it. The misses are written first and counted there. What
+    is missing from an array is packed and asked again ``repeats`` times, then one by one.
+    """
+    spark = keyed.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    for attempt in range(repeats + 2):
+        version = current_version(spark, cache_path)
+        misses = _written(cache_misses(keyed, read_responses(spark, cache_path), prompt))
+        rows = misses.count()
+        if not rows:
+            break
+        if attempt <= repeats:
+            packed = pack_prompts(
+                misses, batch_size, prompt=prompt, rows_per_bucket=rows_per_bucket, system_prompt=system_prompt, rows=rows
+            )
+            spread = packed.repartition(tasks, "batch_id")
+            responses = share_packed(infer(spread, client_factory, model, provider, prompt, keep=("keys",)))
+        else:
+            single = with_system_prompt(misses, system_prompt, prompt).repartition(tasks, "prompt_hash")
+            responses = infer(single, client_factory, model, provider, prompt)
+        append_responses(responses, cache_path, version)
     return read_responses(spark, cache_path)
 
 

@@ -84,17 +84,21 @@ def pack_prompts(
     key: str = "prompt_hash",
     prompt: str = "prompt",
     rows_per_bucket: int = 10_000,
+    system_prompt: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """M3: up to ``batch_size`` prompts per numbered request.
 
     Gives (batch_id, keys, prompt), where ``keys`` are the packed prompts' keys in
     the order of their numbers. ``key`` is a hexadecimal digest, one per row. Rows
     are numbered inside buckets of about ``rows_per_bucket``, so no task numbers the
-    whole table; the number of buckets follows the row count.
+    whole table; the number of buckets follows the row count, which is counted by a
+    subquery if ``rows`` does not give it. A system prompt is put once ahead of a request.
     """
     require_columns(prompts, key, prompt)
-    rows = prompts.agg(F.count(F.lit(1))).scalar()
-    buckets = F.ceil(rows / rows_per_bucket)
+    counted = prompts.agg(F.count(F.lit(1))).scalar() if rows is None else F.lit(rows)
+    buckets = F.ceil(counted / rows_per_bucket)
+    heading = (system_prompt + "\n\n" if system_prompt else "") + PACKED_HEADING
     bucket = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), buckets)
     in_bucket = Window.partitionBy("bucket").orderBy(key)
     numbered = (
@@ -113,6 +117,6 @@ def pack_prompts(
         .select(
             F.concat_ws("-", "bucket", "batch").alias("batch_id"),
             F.transform("items", lambda row: row["key"]).alias("keys"),
-            F.concat(F.lit(PACKED_HEADING), F.array_join(lines, "")).alias(prompt),
+            F.concat(F.lit(heading), F.array_join(lines, "")).alias(prompt),
         )
     )

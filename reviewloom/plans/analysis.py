@@ -17,6 +17,7 @@ from ..operators.inference import (
     answers_per_prompt,
     choose_client,
     store_answers,
+    store_packed,
     with_prompt_key,
 )
 from ..operators.prompts import SENTIMENT_PROMPT, TOPIC_PROMPT, render
@@ -24,6 +25,10 @@ from ..sources.sinks import write_json, write_report
 from .report import generate_report, report_prompt
 
 
+# Names of the results and of the run's metadata.
+METADATA = ("analysis_time_seconds", "primary_llm", "available_providers", "timestamp")
+
+
 @dataclass
 class Analysis:
     """Results, each a DataFrame over written tables: reading one calls no model."""
@@ -36,6 +41,9 @@ class Analysis:
     metadata: DataFrame  # one row
 
 
+# ---- end of fixed values
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     """The frame, computed once into a table and read back."""
     df.write.parquet(path)
@@ -64,13 +72,17 @@ def analyze(
     system_prompt: str | None = None,
     tasks: int | None = None,
     rounds: int = 1,
+    batch_size: int | None = None,
+    rows_per_bucket: int = 10_000,
 ) -> Analysis:
     """Clean, profile, sentiment, topics, report.
 
     ``work_dir`` is a folder shared by the executors: it takes the tables of this run
     and the answers of all runs. ``first_n`` bounds how many reviews, in
     ``order``, go to the model; all of them by default. ``tasks`` and ``rounds`` are
-    those of ``store_answers``.
+    those of ``store_answers``. ``batch_size`` packs that many prompts of a kind into a
+    request with the system prompt ahead of it once, and what an answer lacks is asked
+    again; keys stay those of single prompts, so answers stored either way serve both.
     """
     started, run = time.time(), uuid4().hex
     provider, factory = choose_client(clients, provider)
@@ -83,11 +95,20 @@ def analyze(
     asked = first_rows(clean, first_n, *order)
     by_sentiment = sentiment_prompts(asked, model, system_prompt)
     by_topic = topic_prompts(asked, model, system_prompt)
-    # Both kinds of prompt go out in one job: a slow call of one does not idle the other.
-    both = by_sentiment.select("prompt_hash", "prompt").unionByName(
-        by_topic.select("prompt_hash", "prompt")
-    )
-    stored = store_answers(both, cache_path, factory, model, provider, tasks, rounds=rounds)
+    if batch_size is None:
+        # Both kinds of prompt go out in one job: a slow call of one does not idle the other.
+        both = by_sentiment.select("prompt_hash", "prompt").unionByName(
+            by_topic.select("prompt_hash", "prompt")
+        )
+        stored = store_answers(both, cache_path, factory, model, provider, tasks, rounds=rounds)
+    else:
+        for kind, keyed in (("feedback", by_sentiment), ("comment", by_topic)):
+            template = {"feedback": SENTIMENT_PROMPT, "comment": TOPIC_PROMPT}[kind]
+            bare = render(keyed.select("comment", "prompt_hash"), template, **{kind: "comment"})
+            stored = store_packed(
+                bare.select("prompt_hash", "prompt"), cache_path, factory, model, provider, batch_size,
+                system_prompt, tasks, rows_per_bucket=rows_per_bucket,
+            )
 
     sentiments = sentiment.parse_sentiments(answers_per_prompt(by_sentiment, stored))
     topic_rows = topics.parse_topics(answers_per_prompt(by_topic, stored))
@@ -115,12 +136,13 @@ def analyze(
         profile.word_statistics(clean)
     )
     statistics = _written(statistics, f"{work_dir}/statistics-{run}")
-    metadata = clean.sparkSession.range(1).select(
-        F.lit(round(time.time() - started, 2)).alias("analysis_time_seconds"),
-        F.lit(provider).alias("primary_provider"),
-        F.array(*[F.lit(name) for name in clients]).alias("available_providers"),
-        F.lit(time.strftime("%Y-%m-%d %H:%M:%S")).alias("timestamp"),
+    values = (
+        F.lit(round(time.time() - started, 2)),
+        F.lit(provider),
+        F.array(*[F.lit(name) for name in clients]),
+        F.lit(time.strftime("%Y-%m-%d %H:%M:%S")),
     )
+    metadata = clean.sparkSession.range(1).select(*[v.alias(n) for v, n in zip(values, METADATA, strict=True)])
     return Analysis(
         data_summary=data_summary,
         statistics=statistics,

@@ -57,7 +57,7 @@ def test_full_analysis(reviews, spark, tmp_path):
     assert result.topic_extraction.first().total_topics_extracted == 60
     assert {r.metric for r in result.statistics.collect()} >= {"count", "word_frequency"}
     meta = result.metadata.first()
-    assert meta.primary_provider == "standin" and meta.available_providers == ["standin", "spare"]
+    assert meta.primary_llm == "standin" and meta.available_providers == ["standin", "spare"]
 
     json_path, text_path = save_results(result, str(tmp_path / "out"))
     saved = json.loads(spark.read.text(json_path).first()[0])
@@ -87,3 +87,48 @@ def test_analysis_of_a_few_and_a_second_run(reviews, tmp_path):
 def test_nothing_to_analyse(reviews, tmp_path):
     with pytest.raises(ValueError, match="no rows"):
         analyze(reviews.where("false"), str(tmp_path), {"p": standin_client}, "m")
+
+
+def _packing_client(folder, short):
+    """Answers each item of a request as a prompt of its own, but not the last ones."""
+
+    def build():
+        import json
+        import re
+        from uuid import uuid4
+
+        def client(prompt):
+            with open(f"{folder}/{uuid4().hex}", "w") as call:
+                call.write(prompt)
+            items = re.split(r"(?m)^\d+\. (?=Analyze|Extract)", prompt)[1:]
+            if not items:
+                return json.dumps({"sentiment": "negative", "main_topics": ["alone"]})
+            answers = [{"sentiment": "positive", "main_topics": [f"t{len(i)}"]} for i in items]
+            return json.dumps(answers[: max(0, len(answers) - short)])
+
+        return client
+
+    return build
+
+
+@pytest.mark.parametrize("short, calls", [(0, 10), (1, 12)])
+def test_packed_requests(reviews, tmp_path, short, calls):
+    """21 different comments: five packs of each kind, and one of what five answers lack."""
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    client = {"a": _packing_client(str(folder), short)}
+    work = dict(model="m", system_prompt="Be brief.", batch_size=5)
+    result = analyze(reviews, str(tmp_path), client, **work)
+    mood = result.sentiment_analysis.first()
+    # what two packed requests did not answer was asked alone
+    assert (mood.total_comments, mood.neutral_count) == (30, 0)
+    assert (mood.negative_count > 0) == (short > 0)
+    sent = [path.read_text() for path in folder.iterdir()]
+    packs = [text for text in sent if "as a JSON array" in text]
+    assert all(text.count("Be brief.") == 1 and text.startswith("Be brief.") for text in packs)
+    assert all(("Analyze the" in text) != ("Extract key" in text) for text in packs)
+    assert len(packs) == calls
+    # the second run finds everything stored, the report too
+    before = len(sent)
+    analyze(reviews, str(tmp_path), client, **work)
+    assert len(list(folder.iterdir())) == before

@@ -6,14 +6,18 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, queries
+from __spark_entry__ import entry
+from querybook import RUN
 from conftest import SMALL
 from reviewloom.operators import inference, profile, ranking, sentiment, topics, words
 from reviewloom.operators.clean import clean_reviews
 from reviewloom.sources.response_cache import append_responses, read_responses
 
 #: Queries that run jobs of their own while they are built.
-EAGER = {"cache_first", "csv_scan", "full_analysis", "describe_numbers"}
+EAGER = {
+    "cache_first", "cache_lookup", "csv_scan", "full_analysis", "full_analysis_packed", "describe_numbers",
+    "frequent_words",
+}
 
 
 def plan(df) -> str:
@@ -148,13 +152,32 @@ def test_prompts_are_not_shuffled_for_a_lookup(tables, spark):
     assert misses.count("Exchange hashpartitioning(prompt_hash") == 2
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(RUN) - EAGER))
 def test_no_cross_joins(spark, name):
-    text = plan(queries()[name](spark, SMALL))
+    text = plan(RUN[name](spark, SMALL))
     assert "CartesianProduct" not in text
     assert "NestedLoopJoin" not in text
 
 
+def test_texts_stay_out_of_the_shuffle_where_few_columns_are_read(spark, tables):
+    for name in ("row_count", "category_counts", "rating_distribution", "average_rating", "date_range"):
+        text = plan(RUN[name](spark, SMALL))
+        assert "Exchange" in text
+        for line in text.split("\n"):
+            if "Exchange" in line or "HashAggregate(keys=" in line:
+                assert "comment" not in line and "text" not in line and "useful" not in line, line
+    assert "md5" in text
+    whole = plan(clean_reviews(tables.raw()))
+    assert "comment" in next(line for line in whole.split("\n") if "HashAggregate(keys=" in line)
+
+
+def test_a_lookup_does_not_aggregate_answers(spark, tables):
+    text = plan(RUN["cache_lookup"](spark, SMALL))
+    below = text[text.index("Join") :]
+    answers = below.split("key_range")[0]
+    assert "key_range" in below and "min(struct" not in text and answers.count("HashAggregate") <= 2
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["metric", "key", "value", "text"] and df.count() > 5

@@ -6,7 +6,13 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from reviewloom.schema import CACHE_ENTRY, RAW_REVIEWS
-from reviewloom.sources.response_cache import append_responses, read_responses
+from reviewloom.sources.response_cache import (
+    append_responses,
+    compact_responses,
+    current_version,
+    find_response,
+    read_responses,
+)
 from reviewloom.sources.reviews import NULL_TOKENS, null_tokens, read_reviews
 from reviewloom.sources.sinks import REPORT_HEADING, timestamped, write_json, write_report
 
@@ -109,3 +115,57 @@ def test_sinks(spark, tmp_path):
 
 def test_raw_schema_is_all_text():
     assert {f.dataType.simpleString() for f in RAW_REVIEWS} == {"string"}
+
+
+def _answers(spark, keys, content):
+    return spark.createDataFrame([_entry(k, content) for k in keys], CACHE_ENTRY)
+
+
+def test_concurrent_appends_keep_each_key_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from hashlib import md5
+
+    path = str(tmp_path / "cache")
+    keys = [md5(str(i).encode()).hexdigest() for i in range(40)]
+    base = append_responses(_answers(spark, keys[:5], "first"), path)
+    # writers that all start from the same version, with overlapping keys
+    shares = [keys[5 + 5 * i : 20 + 5 * i] for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda n: append_responses(_answers(spark, shares[n], f"w{n}"), path, base), range(4)))
+    assert len({version.number for version in made}) == 4
+    stored = read_responses(spark, path).collect()
+    assert sorted(r.prompt_hash for r in stored) == sorted(keys[:35])
+    for row in stored:
+        holders = {"first"} if row.prompt_hash in keys[:5] else {f"w{n}" for n in range(4) if row.prompt_hash in shares[n]}
+        assert row.content in holders
+    before = {(r.prompt_hash, r.content) for r in stored}
+    old = read_responses(spark, path)
+    version = compact_responses(spark, path, digits=2)
+    assert len(version.runs) == 1 and version.digits == 2 and current_version(spark, path) == version
+    assert {(r.prompt_hash, r.content) for r in read_responses(spark, path).collect()} == before
+    assert old.count() == 35
+    append_responses(_answers(spark, [*keys[30:38], None], "late"), path)
+    assert read_responses(spark, path).count() == 38
+
+
+def test_a_key_reads_its_range_only(spark, tmp_path):
+    from hashlib import md5
+
+    path = str(tmp_path / "cache")
+    keys = [md5(str(i).encode()).hexdigest() for i in range(60)]
+    append_responses(_answers(spark, keys, "x"), path)
+    row = find_response(spark, path, keys[7])
+    assert row.first().content == "x"
+    assert {file.split("key_range=")[1][0] for file in row.inputFiles()} >= {keys[7][0]}
+    text = row._jdf.queryExecution().executedPlan().toString()
+    assert f"(key_range#" in text.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert find_response(spark, path, "0" * 32).count() == 0
+    assert find_response(spark, str(tmp_path / "none"), "0" * 32).count() == 0
+
+
+def test_an_unfinished_append_is_not_seen(spark, tmp_path):
+    path = tmp_path / "cache"
+    version = append_responses(_answers(spark, ["aa", "bb"], "x"), str(path))
+    (path / "run=lost" / "key_range=c").mkdir(parents=True)
+    (path / "_versions" / f"v{version.number + 1:012d}.json").write_text("")
+    assert read_responses(spark, str(path)).count() == 2
