@@ -1,7 +1,8 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 A conversation becomes one or more training texts. Prefix sums of the turns' sizes deal
-the turns to windows, whole turns each. Every window begins with the system turn of the
+the turns to windows, whole turns each: the sums are cut at equal distances, turns between
+two cuts are a window, and a turn across a cut is one by itself. Every window begins with the system turn of the
 conversation and a limited number of turns that were in the window before; only what a
 window has first is under its loss mask, so that each answer is a target once.
 
@@ -30,9 +31,15 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("#"), F.lit("\\h")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    """The same, and the colon that would end a role."""
+    return F.replace(escape(role), F.lit(":"), F.lit("\\c"))
+
+
 def unescape(text: Column) -> Column:
-    """Undo ``escape``: a doubled backslash is taken out first, left to right."""
-    part = lambda x: F.replace(F.replace(x, F.lit("\\h"), F.lit("#")), F.lit("\\l"), F.lit("<"))
+    """Undo both: a doubled backslash is taken out first, left to right."""
+    one = lambda x, code, mark: F.replace(x, F.lit(code), F.lit(mark))
+    part = lambda x: one(one(one(x, "\\h", "#"), "\\l", "<"), "\\c", ":")
     return F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
 
 
@@ -43,14 +50,15 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
     ``repeated`` is the number of turns at its start that an earlier window has too.
     Null role or text is empty. Turns of one number go by role, then text; null numbers
     come first; repeated rows are turns of their own; a null ``conv_id`` is a
-    conversation. A turn larger than the budget is a window's only new one or ends it.
+    conversation. No window exceeds the budget but for one whose only new turn does not fit
+    in it beside the system turn.
     Without rows there are no windows. Other columns are left out.
     """
     prepared(df.sparkSession)
     rows = df.select(
         F.col("conv_id"),
         F.col("turn").cast("long").alias("turn"),
-        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
+        escape_role(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
         escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
     )
     rows = rows.withColumn("block", F.expr(f"floor(turn / {BLOCK})")).withColumn(
@@ -80,21 +88,25 @@ def windows(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
     )
     within = Window.partitionBy("conv_id", "block").orderBy(*order)
     system = F.col("opening.role") == "system"
+    is_system = system & (F.col("at") == 0)
     met = met.withColumn("at", F.col("n_before") + F.row_number().over(within) - 1)
     met = met.withColumn(
         "sum", F.col("size_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
     met = met.withColumn("kept", F.when(system, F.col("opening.size")).otherwise(F.lit(0)))
     met = met.withColumn("sum", F.greatest(F.lit(0), F.col("sum") - F.col("kept")))
-    met = met.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("kept"), F.lit(history), F.lit(1)))
-    met = met.withColumn("span", F.expr("sum div stride"))
-    is_system = system & (F.col("at") == 0)
-
-    # a turn is new in its own window and may be repeated in the next one
+    left = F.lit(budget) - F.col("kept")
+    met = met.withColumn("stride", F.greatest(left - history, F.floor(left / 2), F.lit(1)).cast("long"))
+    # window 2j has what lies between two cuts, window 2j + 1 what crosses the second one
+    met = met.withColumn("own", F.when(is_system, F.lit(0)).otherwise(F.col("size")))
+    met = met.withColumn("span", F.expr("2 * (sum div stride) + if(sum % stride + own > stride, 1, 0)"))
+
+    # a turn is new in its own window and may be repeated in the next two, one of which
+    # may not be there
     member = lambda window, new: F.struct(
         window.alias("window"), F.lit(new).alias("new")
     )
-    both = F.array(member(F.col("span"), True), member(F.col("span") + 1, False))
+    both = F.array(*[member(F.col("span") + i, i == 0) for i in range(3)])
     dealt = met.withColumn("m", F.explode(F.when(is_system, F.slice(both, 1, 1)).otherwise(both)))
     turn = F.struct("at", "sum", "size", F.col("m.new").alias("new"), (F.col("role") == "assistant").alias("target"), "head", "made")
     grouped = dealt.groupBy("conv_id", F.col("m.window").alias("window")).agg(

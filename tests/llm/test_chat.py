@@ -49,7 +49,7 @@ def test_windows_keep_system_turn_and_repeat_history(spark):
     assert len(windows) > 3
     for w in windows:
         assert w.formatted.startswith("### system:\nbe kind</turn>\n")
-        assert len(w.formatted) <= 4 * 200 + 100
+        assert len(w.formatted) <= 4 * 200
     assert all(w.repeated >= 2 for w in windows[1:]) and windows[0].repeated == 0
 
 
@@ -59,3 +59,29 @@ def test_native_and_empty(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("system", [0, 300, 1500])
+def test_budget_is_kept(spark, system):
+    """Windows of turns that fit beside the system turn stay within the budget."""
+    rng = random.Random(system)
+    rows = []
+    for conv in range(40):
+        if system:
+            rows.append((conv, 0, "system", "s" * system))
+        most = 4 * 512 - system - 60
+        rows += [(conv, i, ["user", "assistant"][i % 2], "x" * rng.choice([rng.randrange(most), most, 9])) for i in range(1, 30)]
+    rows += [(99, 1, "user", "y" * 4000), (99, 2, "assistant", "z" * 1500), (99, 3, "user", "z" * 1980)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df).collect()
+    assert all(len(w.formatted) <= 4 * 512 for w in made if w.conv_id != 99)
+    assert sorted(len(w.formatted) > 4 * 512 for w in made if w.conv_id == 99) == [False, False, True]
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(chat.windows(df)).collect()}
+    assert got == want(rows)
+
+
+def test_roles_with_marks(spark):
+    rows = [(1, 1, "a:\n### b", "hi"), (1, 2, "assistant", "x:\ny"), (1, 3, ":\\c:", "\\c:"), (2, 1, "system:\n", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(chat.windows(df)).collect()}
+    assert got == want(rows)
