@@ -1,9 +1,12 @@
 """Profiles."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from reviewloom.functions import parsing
-from reviewloom.operators import profile, ranking
+from reviewloom.operators import increments, profile, ranking
+from reviewloom.session import shared_folder
 
 from .inputs import ISO, TOKENS, VOTES_SQL, ctes
 from .registry import query
@@ -245,3 +248,58 @@ union all select 'word_frequency', word, n from (select * from counted order by
 @query("stats_bundle", ctes("clean", **STATISTICS_CTES) + STATISTICS_LINES)
 def stats_bundle(t):
     return profile.stats_bundle(t.clean())
+
+
+# ---- states that merge: two loads, each written by itself
+
+
+def _loads(t, rows, state):
+    """The states of two halves of the rows, written and read."""
+    for rest in (0, 1):
+        path = f"{shared_folder(t.spark)}/state-{uuid4().hex}"
+        state(rows.where(F.col("review_id") % 2 == rest)).write.parquet(path)
+        yield t.spark.read.parquet(path)
+
+
+@query(
+    "distinct_sketches",
+    ctes("raw")
+    + " union all ".join(
+        f"""select '{c}' as "column", count(distinct {c}) as distinct_count, true as within_five_percent from raw"""
+        for c in _RAW_COLUMNS
+    ),
+)
+def distinct_sketches(t):
+    """Sketches of two loads, merged, beside the exact counts."""
+    raw = t.raw()
+    merged = increments.merged_sketches(*_loads(t, raw, increments.distinct_sketches))
+    estimate = increments.estimated_counts(merged).withColumnRenamed("distinct_count", "estimate")
+    exact = F.col("distinct_count")
+    within = F.abs(F.col("estimate") - exact) <= F.lit(0.05) * exact
+    return profile.distinct_counts(raw).join(estimate, "column").select(
+        "column", "distinct_count", within.alias("within_five_percent")
+    )
+
+
+def _kind(kind: str, value: str) -> str:
+    return f"""select '{kind}' as kind, count({value}) as count, round(avg({value}), 6) as mean,
+ cast(min({value}) as double) as min, quantile_cont(cast({value} as double), 0.25) as q25,
+ quantile_cont(cast({value} as double), 0.5) as median, quantile_cont(cast({value} as double), 0.75) as q75,
+ cast(max({value}) as double) as max from clean"""
+
+
+@query(
+    "profile_merged",
+    ctes("clean")
+    + " union all ".join(
+        [
+            _kind("length", "length(comment)"),
+            _kind("words", f"len(regexp_extract_all(comment, '{TOKENS}'))"),
+            _kind("rating", "rating"),
+        ]
+    ),
+)
+def profile_merged(t):
+    """The profile of all reviews from the states of two loads."""
+    state = increments.merged_states(*_loads(t, t.clean(), increments.profile_state))
+    return increments.state_statistics(state).withColumn("mean", F.round("mean", 6))

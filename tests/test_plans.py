@@ -16,7 +16,7 @@ from reviewloom.sources.response_cache import append_responses, read_responses
 #: Queries that run jobs of their own while they are built.
 EAGER = {
     "cache_first", "cache_lookup", "csv_scan", "full_analysis", "full_analysis_packed", "describe_numbers",
-    "frequent_words",
+    "frequent_words", "distinct_sketches", "profile_merged",
 }
 
 
