@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -71,3 +72,65 @@ def test_names_that_only_contain_a_word(page):
     assert main_text(page) == "Head One."
     for name in ("ad", "x sidebar", "Comments"):
         assert main_text(page.replace("</h2>", f"</h2><div class='{name}'>Not this</div>")) == "Head One."
+
+
+TEXT = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+PLAIN = " ".join(re.sub("<[^>]*>", " ", TEXT).split())
+NOT_THIS = "<p>I disagree, a lot, with all that was said, and this is why: it is not so.</p>"
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        f'<ol class="comment-list"><li><article class="comment-body">{NOT_THIS}</article></li></ol>',
+        f'<section class="comments">{NOT_THIS * 3}</section>',
+        f'<section id="comments">{NOT_THIS * 3}</section>',
+        f'<div class="comments-section">{NOT_THIS}</div>',
+        f'<div id="cookie_banner">{NOT_THIS}</div>',
+        '<div class="share-buttons"><a href="/">Share</a> it</div>',
+        f'<div class="related-posts">{NOT_THIS}</div>',
+        f'<article class="comment">{NOT_THIS}</article>',
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_comments_and_notices_within_an_article(tag, extra):
+    page = f"<body><nav><a href='/'>Home</a></nav><{tag}>{TEXT}{extra}</{tag}><footer>Imprint</footer></body>"
+    assert main_text(page) == PLAIN
+
+
+def test_a_teaser_does_not_win_for_being_an_article():
+    page = f'<body><nav>Home</nav><div id="post">{TEXT}</div><article class="card"><p>Read this, too.</p></article></body>'
+    assert main_text(page) == PLAIN
+
+
+def test_small_print_and_links_beside_the_text():
+    small = "<div class='x1'><p>All rights, of any kind, are reserved; no part may be copied, sold, or lent.</p></div>"
+    links = "<div class='x2'>" + "<p><a href='/'>More of this</a></p>" * 9 + "</div>"
+    assert main_text(f"<body>{links}<div id='post'>{TEXT}</div>{small}</body>") == PLAIN
+    assert main_text(f"<body>{links}<h1>Head</h1><div id='post'>{TEXT[13:]}</div>{small}</body>") == PLAIN
+    assert main_text(f"<body>{links}{TEXT}</body>") == PLAIN
+
+
+def test_several_articles():
+    page = f"<body><nav>Home</nav><article>{TEXT}</article><article>{TEXT}</article><article>{TEXT}</article></body>"
+    assert main_text(page) == " ".join([PLAIN] * 3)
+
+
+HOSTILE = [
+    "<a ", '<p title="x" ', "<p title='x\"> ", '<p ">" ', "<!--", "<![x", "</", "<div>x", "<div></b>", "<b>", "<b><div>x</b>", "<ul><div><li>x</li>",
+    "<script>", "</script", "&#", "&#99999999", "<b><p>", "<p><b>", '<div class="', "<article>x", "<td><tr>", "<", "<a<a", "<span class=ad>x",
+]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_markup_takes_time_by_its_size(part):
+    for tail in ("", ">", '">', "</div>" * 1000):
+        page = (part * (250_000 // len(part))) + tail
+        began = time.process_time()
+        main_text("<body><p>Text, first.</p>" + page)
+        small = time.process_time() - began
+        assert small < 4, (part, tail, small)
+
+
+def test_numbers_of_characters():
+    assert main_text(f"<p>{'&#' + '0' * 9000 + '65;'} &#{'9' * 9000}; &#x41;</p>") == "A � A"
