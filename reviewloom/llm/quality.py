@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,25 @@ _EDGES = (0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75)
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def features(text: str | None) -> set[bytes]:
-    """Features of a whole text: words, pairs of form and step of its share."""
+@dataclass
+class Model:
+    """Log likelihood ratios of features, and how their sum and the length give evidence."""
+
+    ratios: dict[bytes, float] = field(default_factory=dict)
+    #: Of 1, the sum, the length and its square; log odds against the rate of the labelled.
+    line: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
+
+    def total(self, found: set[bytes]) -> float:
+        return float(sum(self.ratios[f] for f in self.ratios.keys() & found))
+
+    def evidence(self, found: set[bytes], length: float) -> float:
+        a, b, c, d = self.line
+        return a + b * self.total(found) + c * length + d * length * length
+
+
+def features(text: str | None) -> tuple[set[bytes], float]:
+    """Features of a whole text (words, pairs of form and step of its share) and its length:
+    the logarithm to base 2 of one more than its words."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
     found = {w.strip(_MARKS).lower() for w in set(words)}
@@ -63,35 +81,53 @@ def features(text: str | None) -> set[bytes]:
     }
     for name, share in shares.items():
         found.add(name + b"%d" % sum(share > e for e in _EDGES))
-    found.add(b"\x00length%d" % min(9, int(math.log2(1 + len(words)))))
-    return found
+    length = math.log2(1 + len(words))
+    found.add(b"\x00length%d" % min(9, int(length)))
+    return found, length
 
 
-def learn(df: DataFrame, labels: DataFrame, bad: str, text: str = "text", key: str = "doc_id") -> dict[bytes, float]:
-    """Log likelihood ratios of features, from labelled documents by grouped counts.
+def learn(df: DataFrame, labels: DataFrame, bad: str, text: str = "text", key: str = "doc_id") -> Model:
+    """Evidence of features, from labelled documents by grouped counts.
 
     ``bad`` is a condition on the labels. At most ``LABELLED`` labelled documents take
-    part, by a hash of their key; null conditions and keys without a label do not.
+    part, by a hash of their key; null conditions and keys without a label do not. A model
+    without labels of both kinds is empty.
     """
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.expr(bad).cast("int").alias("bad"))
     marked = marked.where("bad is not null and k is not null").groupBy("k").agg(F.max("bad").alias("bad"))
     marked = marked.orderBy(F.xxhash64("k"), "k").limit(LABELLED)
+    half = F.pmod(F.xxhash64("k", F.lit("half")), F.lit(2)).cast("int").alias("half")
     known = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(
         F.broadcast(marked), "k"  # LABELLED rows of a key and a number at most
-    ).select("t", "bad")
+    ).select("t", "bad", half)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[bytes, list[int]] = {b"": [0, 0]}
-            for t, b in zip(batch["t"], batch["bad"]):
-                for f in (*features(t), b""):
-                    sums.setdefault(f, [0, 0])[int(b)] += 1
-            yield pd.DataFrame([(f, c[0], c[1]) for f, c in sums.items()], columns=["f", "good", "bad"])
-
-    counts = known.mapInPandas(count, "f binary, good long, bad long").groupBy("f").agg(
-        F.sum("good").alias("good"), F.sum("bad").alias("bad")
-    )
+            sums: dict[tuple[bytes, int], list[int]] = {}
+            for t, b, h in zip(batch["t"], batch["bad"], batch["half"]):
+                for f in (*features(t)[0], b""):
+                    sums.setdefault((f, int(h)), [0, 0])[int(b)] += 1
+            yield pd.DataFrame([(*f, *c) for f, c in sums.items()], columns=["f", "half", "good", "bad"])
+
+    counts = known.mapInPandas(count, "f binary, half int, good long, bad long").groupBy("f").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}")
+            for c in ("good", "bad")
+            for h in (0, 1)
+        ]
+    )
+    counts = counts.withColumns({c: F.col(f"{c}0") + F.col(f"{c}1") for c in ("good", "bad")})
     counts = stored(counts.where(f"good + bad >= {SEEN} or f = X''"), "features")
+    model = Model(_ratios(counts, ""))
+    halves = [_ratios(counts, str(h)) for h in (0, 1)]
+    if model.ratios and all(halves):
+        model.line = _line(known, [Model(r) for r in halves])
+    return model
+
+
+def _ratios(counts: DataFrame, half: str) -> dict[bytes, float]:
+    """Features that tell bad from good by the counts of a half, or of all."""
+    counts = counts.select("f", F.col(f"good{half}").alias("good"), F.col(f"bad{half}").alias("bad"))
     total = counts.where("f = X''").first()
     if total is None or not total.bad or not total.good:
         return {}
@@ -104,8 +140,41 @@ def learn(df: DataFrame, labels: DataFrame, bad: str, text: str = "text", key: s
     return {bytes(r.f): max(-MOST, min(MOST, float(r.llr))) for r in rows}
 
 
+def _line(known: DataFrame, models: list[Model]) -> tuple[float, ...]:
+    """Log odds by sum and length, against the overall rate: a logistic line.
+
+    Each document is summed by the model of the other half. Only counts by rounded sum and
+    length come to the driver, at most 2 x 201 x 161 of them.
+    """
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t, b, h in zip(batch["t"], batch["bad"], batch["half"]):
+                found, length = features(t)
+                rows.append((int(b), round(4 * min(50.0, models[1 - int(h)].total(found))), round(4 * min(40.0, length))))
+            yield pd.DataFrame(rows, columns=["bad", "e", "l"])
+
+    rows = known.mapInPandas(place, "bad int, e int, l int").groupBy("bad", "e", "l").count().orderBy("bad", "e", "l")
+    y, e, size, n = (np.array(c, dtype=float) for c in zip(*rows.collect()))
+    rate = (y * n).sum() / n.sum()
+    base = math.log(rate / (1 - rate))
+    x = np.stack([np.ones_like(e), e / 4, size / 4, (size / 4) ** 2], axis=1)
+    # a prior that leaves the sum as it is where the labels say nothing else
+    middle, precision = np.array([base, 1.0, 0.0, 0.0]), np.array([0.1, 1.0, 1.0, 10.0])
+    at = middle.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        slope = x.T @ (n * (y - p)) - precision * (at - middle)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.diag(precision), slope)
+        at = at + step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(at[0]) - base, *(float(v) for v in at[1:]))
+
+
 def posterior(
-    df: DataFrame, models: list[dict[bytes, float]], rates: list[float], levels: list[str],
+    df: DataFrame, models: list[Model], rates: list[float], levels: list[str],
     text: str = "text", keep: list[str] | None = None,
 ) -> DataFrame:
     """``df``, or its columns to ``keep``, with ``bad_odds``: log odds that a document is bad in the likeliest way.
@@ -123,8 +192,7 @@ def posterior(
             found = [features(t) for t in batch[body]]
             out = batch[carried].copy()
             for i, model in enumerate(models):
-                held = model.keys()
-                out[f"e{i}"] = [float(sum(model[f] for f in held & fs)) for fs in found]
+                out[f"e{i}"] = [model.evidence(*fs) for fs in found]
             yield out
 
     names = [c for c in df.columns if keep is None or c in keep or c in levels]
