@@ -45,6 +45,25 @@ def csv_scan(t):
     return clean.canonical_names(clean.drop_personal(read_reviews(t.spark, path, encoding="UTF-8")))
 
 
+# Lines without quotes or newlines; every eleventh has two fields too many, the first empty.
+_SURPLUS = "case when doc_id % 11 = 0 then ',,more' else '' end"
+_LINE = f"concat('Review ', doc_id, ',cust,', 1 + doc_id % 5, '.0,on 1 May 2018,', source, ',plain,', {_SURPLUS})"
+
+
+@query(
+    "csv_rejects",
+    f"""select concat('Review ', doc_id) as title, source as category,
+ case when doc_id % 11 = 0 then {_LINE} end as rejected from documents""",
+)
+def csv_rejects(t):
+    """Writes lines of which some have too many fields, and reads them all."""
+    path = f"{shared_folder(t.spark)}/lines-{uuid4().hex}"
+    lines = t.read("documents").select(F.expr(_LINE).alias(",".join(RAW_REVIEWS.names)))
+    lines.write.options(header=True, sep="\u0001", quote="\u0002", encoding="UTF-8").csv(path)
+    rows = read_reviews(t.spark, path, multi_line=False, encoding="UTF-8", rejected="rejected")
+    return rows.select(F.col("`Review Title`").alias("title"), F.col("Category").alias("category"), "rejected")
+
+
 @query("dedup_rows", ctes("raw") + "select distinct * from raw")
 def dedup_rows(t):
     return clean.drop_duplicate_rows(t.raw())

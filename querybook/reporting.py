@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import prompts, profile, sentiment, topics
 from reviewloom.plans.analysis import analyze
-from reviewloom.plans.report import as_json, report_prompt as build_report_prompt
+from reviewloom.plans.report import as_json, report_chunks as build_report_chunks, report_prompt as build_report_prompt
 from reviewloom.session import shared_folder
 
 from .answering import (
@@ -85,6 +85,29 @@ def report_prompt(t):
     )
 
 
+_LINES = """select 'categories' as metric, category as key, count(*) as n from clean where category is not null group by category
+union all select 'rating_distribution', cast(rating as varchar), count(*) from clean where rating is not null group by rating"""
+
+
+@query(
+    "report_chunks",
+    ctes(
+        "clean",
+        report_lines=_LINES,
+        numbered="select *, row_number() over (order by metric, n desc, key) - 1 as number from report_lines",
+    )
+    + """select number // 10 as chunk, count(*) as "lines", string_agg(concat_ws(' ', metric, key, n), chr(10) order by number) as text
+ from numbered group by number // 10""",
+)
+def report_chunks(t):
+    """The counts of the summary as numbered chunks of ten lines."""
+    lines = profile.data_summary(t.clean("category", "rating", "comment"))
+    lines = lines.where(F.col("metric").isin("categories", "rating_distribution"))
+    n = F.col("value").cast("bigint")
+    order = [F.col("metric"), (-n).alias("least"), F.col("key")]
+    return build_report_chunks(lines, order, F.concat_ws(" ", "metric", "key", n.cast("string")), size=10)
+
+
 _SENT = rendered_sql(prompts.SENTIMENT_PROMPT, feedback="comment")
 _TOPIC = rendered_sql(prompts.TOPIC_PROMPT, comment="comment")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from ..functions import parsing
 from ..functions import text as textfn
@@ -315,26 +315,54 @@ def _describe_numbers(df: DataFrame, columns: list[str], digits: int | None) ->
     return result.select("column", "count", *shown)
 
 
-def _describe_texts(df: DataFrame) -> DataFrame:
+#: Characters of a text that go with its digest, to order texts that occur equally often.
+_AHEAD = 64
+
+
+def _cells(df: DataFrame, **values) -> DataFrame:
+    """A row (column, *values) for every cell; values are functions of a column's text."""
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
+            F.struct(
+                F.lit(c).alias("column"),
+                *[make(F.col(f"`{c}`").cast("string")).alias(name) for name, make in values.items()],
+            )
             for c in df.columns
         ]
     )
-    counts = (
-        df.select(F.explode(cells).alias("cell"))
-        .select("cell.*")
-        .groupBy("column", "value")
+    return df.select(F.explode(cells).alias("cell")).select("cell.*")
+
+
+def _describe_texts(df: DataFrame) -> DataFrame:
+    """Texts are counted by digest and first characters, so whole ones stay where they are.
+
+    The second scan counts by text, but only those that begin like the most frequent one
+    of their column; it has few texts to send.
+    """
+
+    def key(text: Column) -> Column:
+        return distinct_key(text, StringType())
+
+    def ahead(text: Column) -> Column:
+        return F.substring(text, 1, _AHEAD)
+
+    counts = _cells(df, key=key, ahead=ahead).groupBy("column", "key", "ahead").agg(tally().alias("n"))
+    present = F.col("key").isNotNull()
+    best = F.min(F.when(present, F.struct((-F.col("n")).alias("n"), "ahead")))
+    totals = counts.groupBy("column").agg(
+        tally("n", present).alias("count"), tally(when=present).alias("unique"), best.alias("best")
+    )
+    # one short row per column of the table
+    leaders = F.broadcast(totals.select("column", F.col("best.ahead").alias("ahead")))
+    texts = _cells(df, ahead=ahead, text=lambda text: text).join(leaders, ["column", "ahead"])
+    top = (
+        texts.groupBy("column", "text")
         .agg(tally().alias("n"))
+        .groupBy("column")
+        .agg(F.min(F.struct((-F.col("n")).alias("n"), "text"))["text"].alias("top"))
     )
-    present = F.col("value").isNotNull()
-    best = F.min(F.when(present, F.struct((-F.col("n")).alias("n"), "value")))
-    return counts.groupBy("column").agg(
-        tally("n", present).alias("count"),
-        tally(when=present).alias("unique"),
-        best["value"].alias("top"),
-        (-best["n"]).alias("freq"),
+    return totals.join(top, "column", "left").select(
+        "column", "count", "unique", "top", (-F.col("best.n")).alias("freq")
     )
 
 
@@ -451,5 +479,13 @@ def word_statistics(df: DataFrame, column: str = "comment", k: int = 10) -> Data
 def stats_bundle(df: DataFrame, column: str = "comment", k: int = 10) -> DataFrame:
     """Count, lengths, word frequency and rating distribution in tall form."""
     require_columns(df, column)
-    summary = data_summary_row(df.withColumn("comments", F.col(column)))
-    return summary_statistics(summary).unionByName(word_statistics(df, column, k))
+    summary = data_summary(df.withColumn("comments", F.col(column)))
+    metric = (
+        F.when(F.col("metric") == "total_records", "count")
+        .when((F.col("metric") == "comment_length_stats") & (F.col("key") == "average"), "avg_length")
+        .when((F.col("metric") == "comment_length_stats") & (F.col("key") == "median"), "median_length")
+        .when(F.col("metric") == "rating_distribution", "rating_distribution")
+    )
+    key = F.when(F.col("metric") == "rating_distribution", F.col("key"))
+    lines = summary.select(metric.alias("metric"), key.alias("key"), "value").where("metric is not null")
+    return lines.unionByName(word_statistics(df, column, k))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.inference import ClientFactory, cache_lookup, store_answers, with_prompt_key
 from ..operators.prompts import SUMMARY_PROMPT, render
+from ..session import shared_folder
 from .metrics import insight_type as known_insight_type
 
 # Notes that go with a report.
@@ -34,6 +35,29 @@ def report_prompt(data: DataFrame, sentiment: DataFrame, topics: DataFrame) -> D
     return render(parts, SUMMARY_PROMPT, **{v: v for v in variables}).select("prompt")
 
 
+def report_chunks(lines: DataFrame, order: list[Column], text: Column, size: int = 1000) -> DataFrame:
+    """R1 for any number of lines: rows (chunk, lines, text), ``size`` lines each.
+
+    The lines are dealt by ranges of ``order``, which has to tell them apart, and numbered
+    within each range; the counts of the ranges before it give the number in the whole. No
+    task sorts more than a range, and no row holds more than a chunk. Null texts are empty;
+    no lines give no chunks.
+    """
+    shared_folder(lines.sparkSession)
+    named = lines.select(F.coalesce(text, F.lit("")).alias("text"), F.struct(*order).alias("order"))
+    # written, as ranges come from a sample and must not change under the counts
+    ranged = named.repartitionByRange("order").withColumn("part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    starts = counts.select("part", before.alias("start"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("order"))
+    numbered = ranged.withColumn("place", place).join(F.broadcast(starts), "part")
+    number = F.col("start") + F.col("place") - 1
+    chunks = numbered.select(number.alias("number"), F.floor(number / size).alias("chunk"), "text").groupBy("chunk")
+    kept = F.sort_array(F.collect_list(F.struct("number", "text")))
+    return chunks.agg(F.count("*").alias("lines"), F.concat_ws("\n", F.transform(kept, lambda x: x["text"])).alias("text"))
+
+
 def generate_report(
     prompt: DataFrame,
     cache_path: str,

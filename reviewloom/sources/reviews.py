@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import RAW_REVIEWS
 
@@ -48,6 +48,7 @@ def read_reviews(
     multi_line: bool = True,
     encoding: str = "ISO-8859-1",
     line_end: str | None = None,
+    rejected: str | None = None,
 ) -> DataFrame:
     """CSV, Latin-1 by default, with a header, quoted newlines and doubled quotes.
 
@@ -61,6 +62,9 @@ def read_reviews(
     ends are those of the first header, or ``line_end``, and must be the same in all
     files, or else the check of the header raises. Line ends inside quotes stay as
     they are.
+
+    With ``rejected`` such a row does not fail the job: that column has its text, and its
+    first fields are in the others. In good rows it is null. ``split_rejects`` parts them.
     """
     if line_end is None:
         first = spark.read.text(path, lineSep="\n").first()
@@ -75,7 +79,23 @@ def read_reviews(
         inferSchema=False,
     )
     schema = schema or reader.csv(path).schema
-    reader = reader.schema(schema).options(enforceSchema=False)
-    # All fields of a row are looked at, so that a surplus one is found in any query.
-    reader = reader.options(maxColumns=len(schema), columnPruning=False)
-    return null_tokens(reader.csv(path))
+    reader = reader.options(enforceSchema=False, columnPruning=False)
+    if rejected is None:
+        # All fields of a row are looked at, so that a surplus one is found in any query.
+        return null_tokens(reader.schema(schema).options(maxColumns=len(schema)).csv(path))
+    wide = StructType([*schema.fields, StructField(rejected, StringType())])
+    rows = reader.schema(wide).options(columnNameOfCorruptRecord=rejected).csv(path)
+    # The reader also marks rows with too few fields. Separators outside quotes tell.
+    record = F.col(f"`{rejected}`")
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    surplus = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) >= len(schema)
+    # Spark does not read the record alone, so counts look at a field too; no length is negative.
+    surplus = surplus | (F.length(F.col(f"`{schema.fields[0].name}`").cast("string")) < 0)
+    fields = null_tokens(rows.withColumn(rejected, F.struct(F.when(surplus, record).alias("text"))))
+    return fields.withColumn(rejected, F.col(f"`{rejected}`.text"))
+
+
+def split_rejects(df: DataFrame, rejected: str) -> tuple[DataFrame, DataFrame]:
+    """The good rows, and the rejected ones, of a scan with ``rejected``."""
+    bad = F.col(f"`{rejected}`").isNotNull()
+    return df.where(~bad).drop(rejected), df.where(bad)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import entry
 from querybook import RUN
 from conftest import SMALL
+from reviewloom.plans.report import report_chunks
 from reviewloom.operators import inference, profile, ranking, sentiment, topics, words
 from reviewloom.operators.clean import clean_reviews
 from reviewloom.sources.response_cache import append_responses, read_responses
@@ -181,3 +182,23 @@ def test_a_lookup_does_not_aggregate_answers(spark, tables):
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["metric", "key", "value", "text"] and df.count() > 5
+
+
+def test_whole_texts_are_not_shuffled_by_describe(tables):
+    """Only the texts that begin like the most frequent one are sent by their text."""
+    text = plan(profile.describe(tables.read("documents").select("text", "source")))
+    assert len(re.findall(r"Exchange hashpartitioning\(column#\d+, text#\d+", text)) <= 1
+    assert re.search(r"Exchange hashpartitioning\(column#\d+, key#\d+, ahead#\d+", text)
+
+
+def test_statistics_gather_no_ratings_in_a_row(tables):
+    df = tables.read("documents").withColumnRenamed("text", "comment").withColumn("rating", F.lit(1.0))
+    assert "collect_list" not in plan(profile.stats_bundle(df))
+
+
+def test_chunks_of_a_report(spark):
+    lines = spark.range(2503).selectExpr("id", "concat('line ', id) as line")
+    chunks = report_chunks(lines, [F.col("id")], F.col("line"), size=100).orderBy("chunk").collect()
+    assert [c.lines for c in chunks] == [100] * 25 + [3]
+    assert "\n".join(c.text for c in chunks).split("\n") == [f"line {i}" for i in range(2503)]
+    assert report_chunks(lines.limit(0), [F.col("id")], F.col("line")).count() == 0

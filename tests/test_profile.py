@@ -199,3 +199,11 @@ def test_describe_infinities_dots_and_nothing(spark):
     got = {r.column: r for r in profile.describe(df).collect()}
     assert (got["a.b"].q25, got["a.b"].median, got["a.b"].q75) == (1.75, 3.5, inf)
     assert got["none"].asDict() | {"column": "", "count": 0} == dict.fromkeys(got["none"].asDict()) | {"column": "", "count": 0}
+
+
+def test_describe_texts_that_begin_alike(spark):
+    long = "x" * 100
+    rows = [(long + "b", None), (long + "a", None), (long + "a", None), (long + "b", None), ("z", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, `n.ull` string")
+    got = {r["column"]: tuple(r)[1:] for r in profile.describe(df).collect()}
+    assert got == {"t": (5, 3, long + "a", 2), "n.ull": (0, 0, None, None)}

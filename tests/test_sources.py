@@ -13,7 +13,7 @@ from reviewloom.sources.response_cache import (
     find_response,
     read_responses,
 )
-from reviewloom.sources.reviews import NULL_TOKENS, null_tokens, read_reviews
+from reviewloom.sources.reviews import NULL_TOKENS, null_tokens, read_reviews, split_rejects
 from reviewloom.sources.sinks import REPORT_HEADING, timestamped, write_json, write_report
 
 HEADER = "Review Title,Customer name,Rating,Date,Category,Comments,Useful\n"
@@ -169,3 +169,18 @@ def test_an_unfinished_append_is_not_seen(spark, tmp_path):
     (path / "run=lost" / "key_range=c").mkdir(parents=True)
     (path / "_versions" / f"v{version.number + 1:012d}.json").write_text("")
     assert read_responses(spark, str(path)).count() == 2
+
+
+def test_rows_with_too_many_fields_are_put_aside(spark, tmp_path):
+    good = 'a,b,4.0,on 1 May 2018,c,"one, ""two""\nthree",1\n'
+    short = "a,b,5.0\n"
+    bad = 'x,b,4.0,on 1 May 2018,c,"one, two",1,more\n'
+    empty = "y,b,4.0,on 1 May 2018,c,d,,\n"
+    path = _file(tmp_path, HEADER + good + bad + short + empty)
+    rows = read_reviews(spark, path, rejected="why")
+    kept, rejects = split_rejects(rows, "why")
+    assert [r["Review Title"] for r in kept.collect()] == ["a", "a"]
+    assert kept.columns == RAW_REVIEWS.names
+    assert kept.first()["Comments"] == 'one, "two"\nthree'
+    assert [r["why"].strip() for r in rejects.orderBy("why").collect()] == [bad.strip(), empty.strip()]
+    assert rejects.count() == 2 and rows.count() == 4
