@@ -1,6 +1,7 @@
 """Inputs of the registered queries, derived from the driver's tables.
 
-Reviews and model answers are formulas over ``documents``. Each formula is one SQL
+Reviews and model answers are made from ``documents``; the answers' moods, topics and
+emotions come from the words of the text. Each formula is one SQL
 expression that reads the same on both engines, so the Spark frame and the check's
 common table expression come from the same text.
 """
@@ -31,22 +32,37 @@ RAW_FIELDS = {
         when 2 then '' else null end""",
 }
 
+
+def _word(place: int | str) -> str:
+    """The letters of a word of the text, by its place; negative ones count from the end."""
+    return f"regexp_extract(split_part(coalesce(text, ''), ' ', {place}), '[A-Za-z]+', 0)"
+
+
+def _times(piece: str) -> str:
+    """How many characters the occurrences of a piece take in the text."""
+    return f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{piece}', '')))"
+
+
+_SIZE = "length(coalesce(text, ''))"
+# The mood is the commoner one of two pieces of words; topics and emotions are words.
+_MOOD = f"({_times('on')} - {_times('er')})"
+
 RESPONSE_FIELDS = {
     "review_id": "doc_id",
-    "sentiment_answer": """case when doc_id % 13 = 0 then 'Mock response'
-        when doc_id % 19 = 0 then '[{"sentiment":"positive"}]'
-        when doc_id % 17 = 0 then concat('```json', chr(10),
-            '{"sentiment":"negative","confidence":0.7,"key_emotions":["anger"]}', chr(10), '```')
-        else concat('{"sentiment":"',
-            case doc_id % 3 when 0 then 'positive' when 1 then 'negative' else 'neutral' end,
-            '","confidence":0.', doc_id % 10, ',"key_emotions":["joy","e', doc_id % 8, '"]}') end""",
-    "topic_answer": """case when doc_id % 13 = 0 then 'Mock response'
-        else concat('{"main_topics":["t', doc_id % 9, '","t', doc_id % 4, '"],"issues":["i',
-                    doc_id % 6, '"],"praise":["p', doc_id % 5, '"]}') end""",
-    "provider": "case when doc_id % 2 = 0 then 'provider_a' else 'provider_b' end",
-    "model": "concat('model_', doc_id % 3)",
-    "tokens_used": "cast(10 + doc_id % 90 as int)",
-    "response_time": "cast(doc_id % 40 as double) / 8",
+    "sentiment_answer": f"""case when {_SIZE} % 13 = 0 then 'Mock response'
+        when {_SIZE} % 19 = 0 then '[{{"sentiment":"positive"}}]'
+        when {_SIZE} % 17 = 0 then concat('```json', chr(10),
+            '{{"sentiment":"negative","confidence":0.7,"key_emotions":["', {_word(1)}, '"]}}', chr(10), '```')
+        else concat('{{"sentiment":"',
+            case when {_MOOD} > 0 then 'positive' when {_MOOD} < 0 then 'negative' else 'neutral' end,
+            '","confidence":0.', abs({_MOOD}) % 10, ',"key_emotions":["', {_word(2)}, '","', {_word(-2)}, '"]}}') end""",
+    "topic_answer": f"""case when {_SIZE} % 13 = 0 then 'Mock response'
+        else concat('{{"main_topics":["', {_word(3)}, '","', {_word(-3)}, '"],"issues":["',
+                    {_word(4)}, '"],"praise":["', {_word(-4)}, '"]}}') end""",
+    "provider": f"case when {_SIZE} % 2 = 0 then 'provider_a' else 'provider_b' end",
+    "model": "concat('model_', lang)",
+    "tokens_used": f"cast(10 + {_SIZE} % 90 as int)",
+    "response_time": f"cast({_SIZE} % 40 as double) / 8",
     "cost": "cast(null as double)",
 }
 
