@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import components, prepared, stored
 
-#: Neighbours of a node, trees, vectors of a leaf, rounds of descent, vectors in the sample.
-NEIGHBOURS, TREES, LEAF, ROUNDS, SAMPLE = 14, 6, 256, 2, 20_000
-#: Search: neighbours of a node, nodes kept for a query, nodes expanded in a round, rounds.
-WAYS, BEAM, EXPANDED, HOPS = 24, 320, 40, 9
+#: Neighbours of a node, trees, vectors of a leaf, vectors in the sample.
+NEIGHBOURS, TREES, LEAF, SAMPLE = 14, 6, 256, 20_000
+#: Descent ends when no larger share of the list entries is new in a round. Lists only get
+#: nearer, so it does end; as many rounds as DESCENTS are an error.
+CHANGED, DESCENTS = 0.12, 40
+#: Search: neighbours of a node, nodes kept for a query, nodes expanded in a round.
+WAYS, BEAM, EXPANDED = 24, 320, 40
+#: Recall that a search must show, on as many of its queries at most.
+RECALL, GATED = 0.92, 256
 #: Vectors in a tile of the exact count of links.
 TILE = 1000
 #: Levels of a tree that have a threshold for each node.
@@ -201,8 +206,11 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     )
 
 
-def build(table: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, rounds: int = ROUNDS, seed: int = 7):
-    """The neighbour graph (a, near) of written vectors, and the trees."""
+def build(table: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, seed: int = 7):
+    """The neighbour graph (a, near) of written vectors, and the trees.
+
+    Rounds of descent go on until at most ``CHANGED`` of the entries are new in one.
+    """
     count = table.count()
     sample = table.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("code").toPandas()
     fitted = fit_trees(decode(sample["code"]), count, trees, LEAF, seed) if count else []
@@ -210,9 +218,22 @@ def build(table: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, rounds: int
         return table.selectExpr("id as a", "cast(array() as array<struct<d:float,b:bigint>>) as near"), fitted
     first = _by_group(_leaves(table, fitted), "leaf", _nearest_in_leaf(k), "a long, b long, d float", 2 * LEAF)
     graph = stored(_best(first, k), "graph")
-    for _ in range(rounds if fitted[0] else 0):
-        graph = stored(_descend(graph, table, k, seed), "graph")
-    return graph, fitted
+    if not fitted[0]:
+        return graph, fitted
+    for turn in range(DESCENTS):
+        before, graph = graph, stored(_descend(graph, table, k, seed + turn), "graph")
+        if _changed(before, graph) <= CHANGED:
+            return graph, fitted
+    raise RuntimeError(f"the neighbour graph still changed after {DESCENTS} rounds")
+
+
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the list entries of a graph that an earlier one has not."""
+    old = before.select("a", F.col("near.b").alias("old"))
+    met = after.select("a", F.col("near.b").alias("now")).join(old, "a", "left")
+    new = F.size(F.array_except("now", F.coalesce("old", F.array().cast("array<long>"))))
+    found = met.agg(F.sum(new).alias("new"), F.sum(F.size("now")).alias("every")).first()
+    return (found["new"] or 0) / max(1, found["every"] or 0)
 
 
 def _descend(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame:
@@ -251,18 +272,22 @@ def _descend(graph: DataFrame, table: DataFrame, k: int, seed: int) -> DataFrame
 
 def search(
     df: DataFrame, queries, k: int = 10, key: str = "vec_id", vector: str = "embedding",
-    beam: int = BEAM, expanded: int = EXPANDED, hops: int = HOPS,
+    beam: int = BEAM, expanded: int = EXPANDED, recall: float = RECALL,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found for each query vector.
 
     ``queries`` is a condition on ``key``. Nearness is the Euclidean distance, ties go to
     the smaller key. Fewer rows come back only where there are fewer candidates. Rows with
     a null key are candidates, with a null ``vec_id``. Vectors that take no part
-    (``vectors``) are neither queries nor candidates. Empty tables give no rows.
+    (``vectors``) are neither queries nor candidates. Rows that repeat a key are queries and
+    candidates of their own. Empty tables give no rows, other columns are left out.
 
     A query starts from its leaves of all trees. Each hop joins its nearest nodes that
     have not been expanded with the graph, measures their neighbours in both directions,
-    and keeps the ``beam`` nearest of all. Hops end early when no query has any left.
+    and keeps the ``beam`` nearest of all, until no query has any left. Then ``GATED`` of
+    the queries at most, by a hash, are held against all rows exactly. While they show less
+    than ``recall``, the search goes on with a beam twice as wide; a beam as wide as the
+    table that still shows less is an error.
     """
     prepared(df.sparkSession)
     table = vectors(df, key, vector, unit=False)
@@ -320,17 +345,16 @@ def search(
         )
         start = _by_group(flagged, "leaf", meet, "q long, id long, d float", 2 * LEAF)
         state = stored(kept(start.withColumn("done", F.lit(False))), "beam")
-        for _ in range(hops if trees[0] else 0):
-            turn = Window.partitionBy("q").orderBy("d", "id")
-            chosen = state.where("not done").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= expanded)
-            chosen = chosen.select("q", "id", "d")
-            found = chosen.join(ways, chosen["id"] == ways["a"]).select("q", F.explode("ways").alias("id")).where("q <> id").distinct()
-            found = found.join(state.select("q", "id"), ["q", "id"], "left_anti")
-            rows = state.union(chosen.withColumn("done", F.lit(True)))
-            rows = rows.union(measured(found).withColumn("done", F.lit(False)))
-            state = stored(kept(rows), "beam")
-            if not state.where("not done").limit(1).count():
-                break
+
+    def hop(state: DataFrame) -> DataFrame:
+        turn = Window.partitionBy("q").orderBy("d", "id")
+        chosen = state.where("not done").withColumn("r", F.row_number().over(turn)).where(F.col("r") <= expanded)
+        chosen = chosen.select("q", "id", "d")
+        found = chosen.join(ways, chosen["id"] == ways["a"]).select("q", F.explode("ways").alias("id")).where("q <> id").distinct()
+        found = found.join(state.select("q", "id"), ["q", "id"], "left_anti")
+        rows = state.union(chosen.withColumn("done", F.lit(True)))
+        rows = rows.union(measured(found).withColumn("done", F.lit(False)))
+        return stored(kept(rows), "beam")
 
     # exact distances on the original vectors, added up in order
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,15 +365,70 @@ def search(
             total = np.zeros(len(x))
             for i in range(x.shape[1]):
                 total += (x[:, i] - y[:, i]) ** 2
-            yield pd.DataFrame({"query_id": batch["query_id"], "vec_id": batch["vec_id"], "score": np.sqrt(total)})
+            yield batch[["q", "query_id", "vec_id"]].assign(score=np.sqrt(total))
 
     original = table.select("id", "key", "v")
-    pairs = state.select("q", "id").join(original.select("id", F.col("key").alias("vec_id"), F.col("v").alias("y")), "id")
-    pairs = pairs.join(original.select(F.col("id").alias("q"), F.col("key").alias("query_id"), F.col("v").alias("x")), "q")
-    scored = pairs.select("query_id", "vec_id", "x", "y").mapInPandas(exact, "query_id long, vec_id long, score double")
-    near = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("vec_id").alias("vec_id"), "score")
+
+    def ranked(state: DataFrame) -> DataFrame:
+        pairs = state.select("q", "id").join(original.select("id", F.col("key").alias("vec_id"), F.col("v").alias("y")), "id")
+        pairs = pairs.join(original.select(F.col("id").alias("q"), F.col("key").alias("query_id"), F.col("v").alias("x")), "q")
+        scored = pairs.select("q", "query_id", "vec_id", "x", "y").mapInPandas(
+            exact, "q long, query_id long, vec_id long, score double"
+        )
+        near = Window.partitionBy("q").orderBy("score", "vec_id")
+        return scored.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+
+    truth = _truth(table, ask, k)
+    hops = bool(trees and trees[0])  # the vectors of a single leaf have all met
+    while True:
+        while hops and not state.where("not done").isEmpty():
+            state = hop(state)
+        found = stored(ranked(state), "ranked")
+        shown = _recall(found, truth)
+        if shown >= recall:
+            return found.select("query_id", "rank", "vec_id", "score")
+        if beam >= table.count():
+            raise RuntimeError(f"a search of the whole graph shows a recall of {shown:.3f} only")
+        # what the narrower beam let go is found again from the nodes that it kept
+        beam, hops, state = 2 * beam, bool(trees), state.withColumn("done", F.lit(False))
+
+
+def _truth(table: DataFrame, ask: DataFrame, k: int) -> pd.DataFrame:
+    """Of ``GATED`` queries at most: (q, far, n), the distance of the last of the n = k nearest.
+
+    Every task keeps the k nearest of its rows, so its result is bounded.
+    """
+    sample = ask.select(F.col("q").alias("id")).orderBy(F.xxhash64("q", F.lit(5)), "q").limit(GATED)
+    rows = table.select("id", "v").join(sample, "id").toPandas()
+    if not len(rows):
+        return pd.DataFrame({"q": [], "far": [], "n": []})
+    asked, x = rows["id"].to_numpy(), doubles(rows["v"])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(asked), k), np.inf)
+        for batch in batches:
+            if not len(batch):
+                continue
+            y, total = doubles(batch["v"]), np.zeros((len(asked), len(batch)))
+            for i in range(x.shape[1]):
+                total += (x[:, i, None] - y[None, :, i]) ** 2
+            total[asked[:, None] == batch["id"].to_numpy()[None, :]] = np.inf
+            best = np.partition(np.concatenate([best, np.sqrt(total)], axis=1), k - 1, axis=1)[:, :k]
+        q, place = np.nonzero(best < np.inf)
+        yield pd.DataFrame({"q": asked[q], "score": best[q, place]})
+
+    near = Window.partitionBy("q").orderBy("score")
+    every = table.select("id", "v").mapInPandas(work, "q long, score double")
+    every = every.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
+    return every.groupBy("q").agg(F.max("score").alias("far"), F.count("*").alias("n")).toPandas()
+
+
+def _recall(found: DataFrame, truth: pd.DataFrame) -> float:
+    """Share of the true neighbours that were found; ties count as found."""
+    if not len(truth):
+        return 1.0
+    rows = found.where(F.col("q").isin(truth["q"].tolist())).select("q", "score").toPandas().merge(truth, on="q")
+    return float((rows["score"] <= rows["far"]).sum() / truth["n"].sum())
 
 
 # ---- near-duplicates

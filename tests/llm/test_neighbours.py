@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from reviewloom.llm import neighbours
 
@@ -53,3 +54,55 @@ def test_links_between_full_lists(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
     assert all(got[i] == (79, 80 * (i // 80)) for i in range(640))
+
+
+def nearest(x, q, k=10):
+    """Brute force: distances added up in order, ties to the smaller number."""
+    total = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        total += (x[q, i] - x[:, i]) ** 2
+    d = np.sqrt(total)
+    return [(j, d[j]) for j in np.lexsort((np.arange(len(x)), d)) if j != q][:k]
+
+
+@pytest.mark.parametrize("beam, expanded", [(320, 40), (8, 4)])
+def test_search_against_all_rows(spark, monkeypatch, beam, expanded):
+    for name, value in {"LEAF": 32, "TREES": 4}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    shown, recall = [], neighbours._recall
+    monkeypatch.setattr(neighbours, "_recall", lambda *a: shown.append(recall(*a)) or shown[-1])
+    x, data = rows(600)
+    x[300:320] = x[300]  # ties: equal vectors
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + data[600:]
+    df = spark.createDataFrame([(*r, 1.0) for r in data], "vec_id long, embedding array<double>, score double")
+    found = {}
+    for r in neighbours.search(df, "key % 20 = 0", beam=beam, expanded=expanded).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(found) == list(range(0, 600, 20))
+    hits = 0
+    for q, got in found.items():
+        want = nearest(x, q)
+        assert [r for r, _, _ in sorted(got)] == list(range(1, 11))
+        assert sorted(got) == [(i + 1, *p) for i, p in enumerate(sorted(((v, s) for _, v, s in got), key=lambda p: p[::-1]))]
+        hits += sum(s <= want[-1][1] for _, _, s in got)
+    assert hits / 300 == pytest.approx(shown[-1]) and hits / 300 >= neighbours.RECALL
+    assert beam > 8 or len(shown) > 1  # the narrow beam had to be widened
+    ties = [(v, s) for _, v, s in sorted(found[300])]
+    assert ties == [(301 + i, 0.0) for i in range(10)]
+
+
+def test_search_that_cannot_reach_its_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_recall", lambda *_: 0.5)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.search(df, "key = 2")
+
+
+def test_descent_that_does_not_settle(spark, monkeypatch):
+    for name, value in {"LEAF": 16, "TREES": 2, "DESCENTS": 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours, "_changed", lambda *_: 0.9)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 4)))], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="still changed"):
+        neighbours.search(df, "key = 2")
