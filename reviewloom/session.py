@@ -6,9 +6,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch, whichever comes first. A task of model calls holds a
+#: few copies of one (Arrow, pandas, the batch before), so its memory follows these numbers.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 * 1024**2
+
 #: UTC keeps parsed dates at midnight; the adaptive settings merge small shuffle
 #: partitions and split hot ones (a hot prompt key in a lookup join, for one).
 SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import inference, prompts, sentiment
 from reviewloom.schema import RESPONSE
+from reviewloom.session import configure
 from reviewloom.sources.response_cache import read_responses
 
 
@@ -47,6 +48,34 @@ def reviews(spark):
     return spark.createDataFrame(texts, "review_id int, prompt string").repartition(4)
 
 
+def batch_measuring_client():
+    """Answers with the rows and characters of the Arrow batch that its prompt came in."""
+
+    def build():
+        import sys
+
+        def client(prompt):
+            batch = sys._getframe(1).f_locals["batch"]
+            return f"{len(batch)} {batch['prompt'].str.len().sum()}"
+
+        return client
+
+    return build
+
+
+@pytest.mark.parametrize("rows, size", [(3_000, 10), (300, 100_000)])
+def test_batches_are_bounded_by_rows_and_by_bytes(spark, rows, size):
+    """Packs of long prompts reach the model a few megabytes at a time, and none is lost."""
+    configure(spark)
+    texts = F.repeat(F.lit("x"), size).alias("prompt")
+    packed = spark.range(0, rows, 1, 1).select(F.col("id").alias("prompt_hash"), texts)
+    got = inference.infer(packed, batch_measuring_client(), "m", "p").select("prompt_hash", "content").collect()
+    assert sorted(r.prompt_hash for r in got) == list(range(rows))
+    held = [tuple(map(int, r.content.split())) for r in got]
+    assert max(n for n, _ in held) <= 512
+    assert max(characters for _, characters in held) <= 5 * 1024**2
+
+
 def test_render(spark):
     df = spark.createDataFrame([("it's {odd} \"x\"", 4.5)], "comment string, rating double")
     row = prompts.render(df, prompts.SENTIMENT_PROMPT, feedback="comment").first()
