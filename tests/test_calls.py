@@ -6,9 +6,11 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.operators.calls import Window, infer_batched, listed
 from reviewloom.operators.inference import store_answers, with_prompt_key
+from reviewloom.session import configure
 
 
 def _client(folder, kind):
@@ -102,6 +104,32 @@ def test_wrong_number_of_answers_and_empty_input(spark):
     assert infer_batched(df.limit(0), build, "m", "p").count() == 0
 
 
+@pytest.mark.parametrize("rows, size", [(3_000, 10), (300, 100_000)])
+def test_batches_are_bounded_by_rows_and_by_bytes(spark, rows, size):
+    """A client that answers with the rows and characters of the Arrow batch its task holds."""
+
+    def build():
+        import sys
+
+        task = sys._getframe(1)
+
+        def client(prompts):
+            batch = task.f_locals["batch"]
+            return [f"{len(batch)} {batch['prompt'].str.len().sum()}" for _ in prompts]
+
+        return client
+
+    configure(spark)
+    texts = F.repeat(F.lit("x"), size).alias("prompt")
+    prompts = spark.range(0, rows, 1, 1).select("id", texts)
+    got = infer_batched(prompts, build, "m", "p", keep=("id",), batch_size=8, in_flight=4)
+    got = got.select("id", "content", "error").collect()
+    assert [r.id for r in got] == list(range(rows)) and not any(r.error for r in got)
+    held = [tuple(map(int, r.content.split())) for r in got]
+    assert max(n for n, _ in held) <= 512
+    assert max(characters for _, characters in held) <= 5 * 1024**2
+
+
 def test_window_runs_calls_at_the_same_time():
     gate = threading.Barrier(3, timeout=10)
 
