@@ -4,7 +4,8 @@
    band the hash range is cut into more parts than two similar sets of that size can
    differ in elements, so that similar sets agree in at least one whole part. What a part
    holds is a candidate key. This loses no pair: a set also takes part in the next band
-   if its size allows a partner there.
+   if its size allows a partner there. Some parts are spare: a set does without its parts
+   of fewest shingles, up to that number, since sets that have little in common meet there.
 2. In a group of sets that share a key, those are tied whose sizes and bitmaps allow the
    overlap: a forest, so that no group is ever listed pair by pair. Where a key is so
    common that its group is large, all of the group is tied to one of them, which loses
@@ -36,7 +37,7 @@ from .words import Runs, chunks, mix, signed
 U64 = np.uint64
 #: Sizes of a band grow by this ratio; it must be below any threshold in use.
 RATIO = 0.75
-#: Parts that may be empty in a set before its empty parts become keys too.
+#: Spare parts of any band, besides those for parts that hold one shingle.
 EMPTY = 2
 #: Sets in a tile, and sets of a large cluster that all of its tiles hold.
 TILE, SHARED = 1000, 16
@@ -57,11 +58,14 @@ def bands(largest: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def parts(band: int, edges: np.ndarray, num: int, den: int) -> int:
-    """Parts of the hash range in a band: more than similar sets can differ in, and spare ones."""
+def parts(band: int, edges: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """Parts of the hash range in a band, more than similar sets can differ in, and how many
+    of them are spare: about as many as hold one shingle at most in a small set of the band."""
     top = int(edges[band + 1]) - 1
-    differ = (den - num) * 2 * top // (den + num)
-    return differ + 1 + EMPTY
+    least = (den - num) * 2 * top // (den + num) + 1
+    held = RATIO * top / least
+    spare = EMPTY + int(least * math.exp(-held) * (1 + held))
+    return least + spare, spare
 
 
 def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
@@ -88,7 +92,12 @@ def set_id(values: np.ndarray) -> int:
 
 
 def keys(values: np.ndarray, num: int, den: int, edges: np.ndarray) -> np.ndarray:
-    """Candidate keys of a set: what its parts hold, in its own band and perhaps the next."""
+    """Candidate keys of a set: what its parts hold, in its own band and perhaps the next.
+
+    Parts of fewer shingles than a bound are left out, which are no more than the spare ones.
+    Similar sets agree in one part more than are spare. Of these, no more than the spare ones
+    are below the higher of both bounds, so a key of both is left.
+    """
     n, out = len(values), []
     band = int(np.searchsorted(edges, n, "right")) - 1
     sums = np.zeros(n + 1, dtype=U64)
@@ -96,14 +105,13 @@ def keys(values: np.ndarray, num: int, den: int, edges: np.ndarray) -> np.ndarra
     # a set of the next band has its least size at least
     several = [band] + ([band + 1] if den * n >= num * int(edges[band + 1]) else [])
     for b in several:
-        m = parts(b, edges, num, den)
+        m, spare = parts(b, edges, num, den)
         cuts = (np.arange(m + 1, dtype=np.float64) / m * 2.0**64)[1:-1].astype(U64)
         at = np.concatenate(([0], np.searchsorted(values, cuts), [n]))
-        filled = at[1:] > at[:-1]
-        if (~filled).sum() > EMPTY:
-            filled[:] = True
-        tag = mix(np.flatnonzero(filled).astype(U64) + U64(b << 32))
-        held = (sums[at[1:]] - sums[at[:-1]])[filled]
+        count = np.diff(at)
+        taken = count >= np.partition(count, spare)[spare]
+        tag = mix(np.flatnonzero(taken).astype(U64) + U64(b << 32))
+        held = (sums[at[1:]] - sums[at[:-1]])[taken]
         out.append(mix(held ^ tag))
     return signed(np.concatenate(out))
 

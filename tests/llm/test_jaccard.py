@@ -120,3 +120,26 @@ def test_keys_are_packed_whole():
         out = pd.concat(jaccard._unpacked(iter([jaccard._packed([(cand[:9], sid[:9], whole[:9]), (cand[9:], sid[9:], whole[9:])], bits)])))
         key = (cand.view(np.uint64) >> np.uint64(24 - bits)).astype(np.int64)
         assert sorted(zip(key, sid, whole)) == sorted(zip(out["candidate"], out["sid"], out["whole"]))
+
+
+def test_keys_lose_no_pair_and_part_what_has_little_in_common():
+    """Sets as far apart as a link allows share a key; those with a tenth in common have few."""
+    rng = np.random.default_rng(7)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    edges = jaccard.bands(8000)
+    for num, den in ((8, 10), (9, 10)):
+        for n in rng.integers(1, 700, 400).tolist():
+            base = some(n)
+            less = (den - num) * n // den
+            own = int(rng.integers(0, less + 1))
+            same = n - int(rng.integers(0, max(0, (den * n - num * (n + own)) // den) + 1))
+            pair = np.unique(base), np.unique(np.concatenate((base[:same], some(own))))
+            assert den * np.intersect1d(*pair).size >= num * np.union1d(*pair).size
+            a, b = (jaccard.keys(x, num, den, edges) for x in pair)
+            assert np.intersect1d(a, b).size
+    common, held = some(30), []
+    for n in rng.integers(200, 400, 300).tolist():
+        held.append(np.unique(jaccard.keys(np.unique(np.concatenate((common, some(n - 30)))), 8, 10, edges)))
+    _, times = np.unique(np.concatenate(held), return_counts=True)
+    met = times[times > 1].sum() / len(held)
+    assert met < 4
