@@ -32,8 +32,8 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 #: Every ASCII byte that is no digit and no letter.
 SYMBOLS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 @lru_cache(maxsize=8)
@@ -58,15 +58,18 @@ class Chunk:
     def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = _GAP):
         self.data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
         if lower:
-            self.data = _LOWER[self.data]
+            self.data = LOWER[self.data]
         gap = np.concatenate(([True], gaps[self.data], [True]))
         edges = np.flatnonzero(gap[1:] != gap[:-1])
-        self.starts, self.ends = edges[::2], edges[1::2]
+        self.starts, self.ends = self._bounds(edges[::2], edges[1::2])
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         self.base = np.concatenate(([0], np.cumsum(lengths)))
         self.first = np.searchsorted(self.starts, self.base)
         self.hashes = self._hash()
 
+    def _bounds(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return starts, ends
+
     def _hash(self) -> np.ndarray:
         starts, ends = self.starts, self.ends
         out, i = np.empty(len(starts), dtype=U64), 0
@@ -87,21 +90,23 @@ class Chunk:
         return b" ".join(data[a:b].tobytes() for a, b in zip(self.starts[word:stop], self.ends[word:stop]))
 
 
-def chunks(texts: list, lower: bool = False, gaps: np.ndarray = _GAP) -> Iterator[tuple[int, int, Chunk]]:
+def chunks(
+    texts: list, lower: bool = False, gaps: np.ndarray = _GAP, kind: type[Chunk] = Chunk
+) -> Iterator[tuple[int, int, Chunk]]:
     """Runs of texts of about ``CHUNK`` bytes: (from, to, their words). None is empty.
 
-    ``gaps`` marks the bytes between words.
+    ``gaps`` marks the bytes between words; ``kind`` may cut words further.
     """
     held, size, start = [], 0, 0
     for i, text in enumerate(texts):
         raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
         if held and size + len(raw) > CHUNK:
-            yield start, i, Chunk(held, lower, gaps)
+            yield start, i, kind(held, lower, gaps)
             held, size, start = [], 0, i
         held.append(raw)
         size += len(raw)
     if held:
-        yield start, len(texts), Chunk(held, lower, gaps)
+        yield start, len(texts), kind(held, lower, gaps)
 
 
 class Runs:

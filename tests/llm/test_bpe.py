@@ -65,3 +65,18 @@ def test_flat_table(path, tokenizer, monkeypatch):
     table = bpe.FlatTable(path)
     assert [table.ids([t])[0] for t in texts] == want
     assert table.ids([]) == [] and table.ids([None, ""]) == [b"", b""]
+
+
+def test_flat_table_learns_words_once(path, tokenizer):
+    """Other capitals and marks at the end make no new word, and every id is the library's."""
+    table = bpe.FlatTable(path)
+    table.ids(["stone and garçon , . !?"])
+    known = len(table.start)
+    texts = ["Stone, AND. stone!? Garçon and. STONE", "garçon garçon", "AND!? aNd"]
+    assert table.ids(texts) == [bpe.binary(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(table.start) == known
+    rng = random.Random(4)
+    pool = [*"abcsStTreéÉßñÿ'\".,;<|>&*_-09 \t\n", "'s", "'ll", "<|endoftext|>", "<|EndOfText|>", "I\u0307", "e\u0301", "ﬁ", "Σ", "你", "\x1c", "\x85"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(4000)]
+    made = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert table.ids(texts) == [bpe.binary(x.ids) for x in made]
