@@ -1,7 +1,10 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from reviewloom.llm import neighbours
+from reviewloom.llm import common, neighbours
 
 
 def rows(n, dims=12):
@@ -106,3 +109,53 @@ def test_descent_that_does_not_settle(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 4)))], "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError, match="still changed"):
         neighbours.search(df, "key = 2")
+
+
+def test_passes_find_the_nearest_and_leave_one_graph(spark, monkeypatch, tmp_path):
+    for name, value in {"LEAF": 64, "TREES": 2, "SMALL": 100, "PASSES": 2, "MOVED": 1 << 21}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    x, data = rows(600)
+    x[300:330] = x[300]
+    shown, hop = [], neighbours._hop
+    monkeypatch.setattr(neighbours, "_hop", lambda *a: shown.append(a[-1]) or hop(*a))
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in neighbours.search(df, "key % 10 = 0", beam=80, expanded=40).collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = x.astype(np.float32).astype(float)
+    assert sum(len(set(found[q]) & set(nearest(x, q))) for q in range(0, 600, 10)) >= 0.92 * 600
+    # equal vectors tie: the smaller keys come first
+    assert sorted(found[310]) == [(i, 0.0) for i in range(300, 310)]
+    assert shown and min(shown) == 2
+    left = Counter(re.sub("-[0-9a-f]{32}", "", f.name) for f in tmp_path.iterdir())
+    assert left["graph"] <= 1 and left["leaves"] == 0 and left["beam"] <= min(shown)
+
+
+def test_codes_leave_few_to_measure(spark):
+    """Beams are cut to what may be among the nearest, whatever the rounding of the codes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16))
+    scale = np.abs(x).max(axis=1, keepdims=True) / 127
+    raw = np.concatenate([scale.view(np.uint8), np.rint(x / scale).astype(np.int8).view(np.uint8)], axis=1)
+    y, off = neighbours._vectors(raw, 400)
+    assert (np.sqrt(((y - x) ** 2).sum(axis=1)) <= off).all()
+    ids = np.arange(1, 400)
+    d = neighbours.squares(y[:1], y[1:])[0].astype(np.float32)
+    beam = [
+        neighbours._own("asked", 0, 0, np.zeros(1, dtype=np.int64), None, raw[:1]),
+        neighbours._own("beam", 0, 0, np.zeros(399, dtype=np.int64), ids, np.stack([d, off[1:]], axis=1)),
+    ]
+    kept = neighbours._may_be_nearest(10)(0, neighbours.pa.Table.from_batches(beam))[0]["id"].to_pylist()
+    assert {j for j, _ in nearest(x, 0)} <= set(kept) and len(kept) < 60
+
+
+def test_entries_come_back_from_rows():
+    ids = np.array([5, -7, 5, 2**62, 0])
+    sent = neighbours._dealt("offer", np.array([2, 0, 2, 1, 0]), ids, ids * 2, n=9)
+    table = neighbours.pa.Table.from_batches([sent])
+    a, b = neighbours._got(table, "offer", np.int64, np.int64)
+    assert sent["block"].to_pylist() == [0, 1, 2] and a.tolist() == [-7, 0, 2**62, 5, 5] and (b == a * 2).all()
+    assert neighbours._places(table, "offer", 8).tolist() == [9] * 5
+    row, got = neighbours._distinct(np.array([1, 0, 1, 1, 0]), ids)
+    assert list(zip(row, got)) == [(0, -7), (0, 0), (1, 5), (1, 2**62)]
